@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, media, packing, tokens, warc
+from . import ann, html_text, licenses, media, packing, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extraction": html_text.op2_html_extraction,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_license_scan": licenses.op5_license_scan,
+    "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_warc": warc.op7_warc,
     "op8_byte_bpe": tokens.op8_byte_bpe,
     "op9_media_columns": media.op9_media_columns,
     "op10_packing": packing.op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_nearest_neighbours": ann.OP6_SQL}
