@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -33,6 +33,7 @@ from . import common
 
 WORD = re.compile(r"[^\W_]+(?:[@$!*0-9_.'-]+[^\W_]+)*|[@$][^\W_]+")
 INNER = re.compile(r"[^\W\d_][@$!*0-9_.]+[^\W\d_]")
+RUN = re.compile(r"(\S)\1{2,}")
 BEGINNINGS = (4, 5, 6)
 #: Digits and signs that stand for letters; second-person words of the corpus's languages.
 LEET = str.maketrans("013457@$!", "oieastasi", "*_.-'")
@@ -59,97 +60,132 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def group_of(words: Sequence[str]) -> int:
+def group_of(words: set[str]) -> int:
     """A minimum hash of the text's words: near copies nearly always agree in it."""
-    return min((zlib.crc32(w.encode("utf-8", "replace"), SEED) for w in set(words)), default=0)
+    return min((zlib.crc32(w.encode("utf-8", "replace"), SEED) for w in words), default=0)
 
 
 @dataclass(frozen=True)
 class Sample:
-    words: list[list[str]]
-    keys: list[set[str]]
+    """Labelled texts as numbers: the keys of all texts in a row, where each text's begin, labels and groups of near copies."""
+
+    names: list[str]
+    keys: np.ndarray
+    starts: np.ndarray
     toxic: np.ndarray
     group: np.ndarray
 
 
 def sample_of(texts: Sequence[str], toxic: Sequence[int]) -> Sample:
-    words = [words_of(t) for t in texts]
-    keys = [{k for w in set(ws) if len(w) > 2 for k in keys_of(w)} for ws in words]
-    return Sample(words, keys, np.array(toxic, dtype=np.int64), np.array([group_of(w) for w in words], dtype=np.int64))
+    ids: dict[str, int] = {}
+    by_word: dict[str, tuple[int, ...]] = {}
+    keys, groups = [], []
+    for text in texts:
+        words = set(words_of(text))
+        own: set[int] = set()
+        for w in words:
+            if len(w) > 2:
+                if w not in by_word:
+                    by_word[w] = tuple(ids.setdefault(k, len(ids)) for k in keys_of(w))
+                own.update(by_word[w])
+        keys.append(np.fromiter(own, dtype=np.int64, count=len(own)))
+        groups.append(group_of(words))
+    starts = np.cumsum([0, *map(len, keys)])
+    return Sample(list(ids), np.concatenate(keys) if keys else np.zeros(0, np.int64), starts, np.array(toxic, dtype=np.int64), np.array(groups, dtype=np.int64))
 
 
 def learn_lexicon(sample: Sample, rows: np.ndarray, least: float = 10.0, most: int = 20_000) -> dict[str, tuple[float, float]]:
-    """key: (log odds, strength), the strength being the gain in log likelihood over the base rate."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    seen: set[tuple[int, int]] = set()
-    met: dict[tuple[int, int], set[str]] = defaultdict(set)
-    totals = [0, 0]
-    for i in rows:
-        y, g = int(sample.toxic[i]), int(sample.group[i])
-        fresh = sample.keys[i] - met[y, g]
-        met[y, g] |= fresh
-        counts[y].update(fresh)
-        if (y, g) not in seen:
-            seen.add((y, g))
-            totals[y] += 1
-    clean, toxic = totals
+    """key: (log odds, strength), the strength being the gain in log likelihood over the base rate. A group of near copies counts once for each key and label."""
+    of_row = np.repeat(np.arange(len(sample.toxic)), np.diff(sample.starts))
+    used = np.isin(of_row, rows)
+    _, group = np.unique(sample.group, return_inverse=True)
+    kind = group * 2 + sample.toxic
+    n_keys = len(sample.names)
+    pairs = np.unique(kind[of_row[used]] * n_keys + sample.keys[used]) if n_keys else np.zeros(0, np.int64)
+    toxic_pair = pairs // max(1, n_keys) % 2 == 1
+    t, c = (np.bincount(pairs[m] % n_keys, minlength=n_keys).astype(float) if n_keys else np.zeros(0) for m in (toxic_pair, ~toxic_pair))
+    totals = np.unique(kind[rows])
+    toxic, clean = int((totals % 2 == 1).sum()), int((totals % 2 == 0).sum())
     if not clean or not toxic:
         return {}
     base = toxic / (clean + toxic)
-    found = []
-    for key, t in counts[1].items():
-        c = counts[0][key]
-        rate = t / (t + c)
-        if t < 2 or rate <= base:
-            continue
-        gain = 2 * (t * math.log(rate / base) + (c * math.log((1 - rate) / (1 - base)) if c else 0))
-        if gain >= least:
-            found.append((gain, key, math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))))
-    found.sort(key=lambda x: (-x[0], x[1]))
-    return {key: (odds, gain) for gain, key, odds in found[:most]}
+    rate = t / np.maximum(1, t + c)
+    gain = 2 * (t * np.log(np.maximum(rate, 1e-12) / base) + c * np.log(np.maximum(1 - rate, 1e-12) / (1 - base)))
+    odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
+    kept = np.flatnonzero((t >= 2) & (rate > base) & (gain >= least))
+    found = sorted(((-gain[i], sample.names[i], odds[i]) for i in kept))[:most]
+    return {key: (float(o), float(-g)) for g, key, o in found}
 
 
 # ---------------------------------------------------------------- features
 
 
 class Features:
-    """Dense features of a text. A worker remembers what the lexicon says of each word it met."""
+    """Dense features of a text, summed over its distinct tokens between white space.
+
+    A worker remembers what each token adds; tokens that add nothing, nearly all, are remembered as None.
+    """
 
     def __init__(self, lexicon: dict[str, tuple[float, float]], remembered: int = 300_000) -> None:
         self.lexicon, self.remembered = lexicon, remembered
         strengths = sorted((s for _, s in lexicon.values()), reverse=True)
-        #: Half the strength of the strongest entries, robustly: what divides strong from weak.
+        #: A quarter of the strength of the eleventh entry: what divides strong from weak.
         self.strong = strengths[min(len(strengths) - 1, 10)] / 4 if strengths else 0.0
-        self.known: dict[str, tuple[float, float] | None] = {}
+        self.starts = {k[:3] for k in lexicon}
+        self.known: dict[str, tuple | None] = {}
 
     def hit(self, word: str) -> tuple[float, float] | None:
-        if word in self.known:
-            return self.known[word]
+        if len(word) < 3 or word.isalpha() and word[:3] not in self.starts:
+            return None
+        own = [self.lexicon[k] for k in keys_of(word) if k in self.lexicon]
+        return max(own, key=lambda x: x[1], default=None)
+
+    def token(self, token: str) -> tuple | None:
+        """Hits by word, second-person words, capitals, shouted, marks, odd signs, obfuscated, stretched, longest run of a sign."""
         if len(self.known) >= self.remembered:
             self.known.clear()
-        own = [self.lexicon[k] for k in keys_of(word) if k in self.lexicon] if len(word) > 2 else []
-        self.known[word] = best = max(own, key=lambda x: x[1], default=None)
-        return best
+        core = token.rstrip(".,")
+        if core.isalpha() and core.islower() and core[:3] not in self.starts and core not in SECOND and not RUN.search(token):
+            self.known[token] = None
+            return None
+        words = words_of(token)
+        hits = {w: h for w in words if (h := self.hit(w)) is not None}
+        you = sum(w in SECOND for w in words)
+        capitals = sum(map(str.isupper, token))
+        run = max((len(m[0]) for m in RUN.finditer(token)), default=0)
+        plain = not (hits or you or capitals or run) and token.isalpha()
+        marks, odd = token.count("!") + token.count("?"), sum(map(token.count, "#$%&*@"))
+        inner, stretched = len(INNER.findall(token)), sum(m[1].isalpha() for m in RUN.finditer(token))
+        info = None if plain or not (hits or you or capitals or run or marks or odd or inner) else (hits, you, capitals, int(len(token) > 2 and token.isupper()), marks, odd, inner, stretched, run)
+        self.known[token] = info
+        return info
 
     def __call__(self, text: str) -> list[float]:
-        words = words_of(text)
-        n = max(1, len(words))
-        hits = {w: h for w in set(words) if (h := self.hit(w)) is not None}
-        strong = {w for w, h in hits.items() if h[1] >= self.strong}
-        places = [i for i, w in enumerate(words) if w in hits] if hits else []
-        near = sum(any(w in SECOND for w in words[max(0, i - 5) : i + 6]) for i in places)
-        n_strong = sum(words[i] in strong for i in places)
+        tokens = text.split()
+        n, known = max(1, len(tokens)), self.known
+        found = [(count, info) for token, count in Counter(tokens).items() if (info := known[token] if token in known else self.token(token)) is not None]
+        you, capitals, shouted, marks, odd, inner, stretched = (sum([c * info[i] for c, info in found]) for i in range(1, 8))
+        hits: dict[str, tuple[float, float]] = {}
+        n_strong = n_weak = 0
+        for c, info in found:
+            for w, h in info[0].items():
+                hits[w] = h
+                if h[1] >= self.strong:
+                    n_strong += c
+                else:
+                    n_weak += c
+        near = 0
+        if hits and you:
+            infos = [self.token(t) for t in tokens]
+            second = [info is not None and info[1] > 0 for info in infos]
+            near = sum(any(second[max(0, i - 5) : i + 6]) for i, info in enumerate(infos) if info is not None and info[0])
+        kinds = sum(h[1] >= self.strong for h in hits.values())
         chars = max(1, len(text))
-        capitals = sum(map(str.isupper, text)) if not text.islower() else 0
-        shouted = sum(w.isupper() and len(w) > 2 for w in text.split()) if capitals > 0.2 * chars else 0
-        longest = max((len(m[0]) for m in re.finditer(r"([^\s])\1{2,}", text)), default=0)
         return [
-            1000 * n_strong / n, 1000 * (len(places) - n_strong) / n, float(len(strong)), float(len(hits) - len(strong)),
-            sum(h[0] for h in hits.values()), max((h[1] for h in hits.values()), default=0.0),
-            1000 * near / n, 1000 * sum(w in SECOND for w in words) / n,
-            capitals / chars, shouted / n, (text.count("!") + text.count("?")) / n, sum(map(text.count, "#$%&*@")) / n,
-            len(INNER.findall(text)) / n, sum(1 for _ in re.finditer(r"([^\W\d_])\1\1", text)) / n,
-            math.log1p(len(words)), float(longest),
+            1000 * n_strong / n, 1000 * n_weak / n, float(kinds), float(len(hits) - kinds),
+            sum(sorted(h[0] for h in hits.values())), max((h[1] for h in hits.values()), default=0.0),
+            1000 * near / n, 1000 * you / n, capitals / chars, shouted / n, marks / n, odd / n, inner / n, stretched / n,
+            math.log1p(len(tokens)), float(max((info[8] for _, info in found), default=0)),
         ]
 
 
@@ -269,7 +305,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int = 32_768) -> Model:
+def fit_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 32_768) -> Model:
     """A model from at most max_rows labelled rows that aren't held out, chosen by a hash of their id, with texts of at most max_chars."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("doc_id")))
     chosen = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
