@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_text, licenses, media, packing, tokens, toxicity, warc
+from . import ann, html_text, licenses, media, near_dedup, packing, suffix_dedup, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_html_extraction": html_text.op2_html_extraction,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_warc": warc.op7_warc,
