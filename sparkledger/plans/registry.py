@@ -1,10 +1,146 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the event log, and the SQL that checks them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from sparkledger.functions import codec
+from sparkledger.operators import log, runs
+from sparkledger.streaming import ingest
+
+EVERY, LIMIT, SNAPSHOT = 250, 800, 500
+LOG_SQL = "log AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op, CAST(user_id AS VARCHAR) AS key, CASE WHEN event_type = 'error' THEN NULL ELSE props END AS value FROM events)"
+LATEST_SQL = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM log) WHERE n = 1)"
+RUNS_SQL = f"runs AS (SELECT * FROM (SELECT *, seq // {EVERY} AS run, row_number() OVER (PARTITION BY seq // {EVERY}, key ORDER BY seq DESC) AS n FROM log) WHERE n = 1)"
+LIVE_SQL = f"WITH {LOG_SQL}, {LATEST_SQL} SELECT key, value FROM latest WHERE op = 'PUT'"
+MANIFEST = "r1#r2\n\nr3"
+LISTING = ("r1", "r3", "r9", "wal", "header")
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.flush(log.events_log(spark, d), EVERY)
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The event log's runs as blocks of 4,000 bytes: index and entries."""
+    entries = runs.flush(log.events_log(spark, d), 2000).select("run", "key", (F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("n"))
+    blocks = runs.pack_blocks(entries, 1000)
+    return blocks.groupBy("run", "block").agg(F.min("key").alias("first_key"), F.min("offset").alias("offset")), entries
+
+
+def sparse_index_search(spark: SparkSession, d: str) -> DataFrame:
+    index, entries = _index(spark, d)
+    return runs.search_index(index, entries.select("run", F.concat("key", F.lit("5")).alias("key")))
+
+
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.lit(0).cast("long").alias("run"), F.col("page_id").cast("string").alias("key"), (F.octet_length(F.col("page_id").cast("string")) + F.octet_length("html")).alias("n"))
+    return runs.pack_blocks(pages)
+
+
+def commands(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.concat_ws(" ", F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "get").when(F.col("event_type") == "click", "PUT").otherwise("put"), F.col("user_id").cast("string"), F.when(~F.col("event_type").isin("error", "view"), F.concat(F.lit("v"), F.col("event_id").cast("string")))).alias("line"))
+    return codec.replies(lines)
+
+
+COMMANDS_SQL = """
+WITH c AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS k, event_type AS e,
+  CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'view' THEN 'get' WHEN event_type = 'click' THEN 'bad' ELSE 'put' END AS v FROM events),
+g AS (SELECT *, max(CASE WHEN v IN ('put', 'delete') THEN seq END) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_seq FROM c)
+SELECT g.seq, CASE WHEN g.v = 'bad' THEN 'Invalid command' WHEN g.v <> 'get' THEN 'Success' WHEN m.v = 'put' THEN 'v' || CAST(m.seq AS VARCHAR) ELSE 'Key not found' END AS response
+FROM g LEFT JOIN c m ON m.seq = g.last_seq
+"""
+
+
+def manifest_rows(spark: SparkSession, d: str) -> DataFrame:
+    return codec.parse_manifest(spark.createDataFrame([(MANIFEST,)], "text string"))
+
+
+def _names(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in LISTING], "name string")
+
+
+def orphan_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark).filter(~F.col("name").isin("wal", "header")).join(manifest_rows(spark, d).select(F.col("run_id").alias("name")), "name", "left_anti")
+
+
+def missing_runs(spark: SparkSession, d: str) -> DataFrame:
+    return manifest_rows(spark, d).select(F.col("run_id").alias("name")).join(_names(spark), "name", "left_anti")
+
+
+def amplification(spark: SparkSession, d: str) -> DataFrame:
+    own = runs.assigned(_runs(spark, d))
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    return own.groupBy("level").agg(F.count_distinct("run").alias("n_runs"), F.count("*").alias("n_entries"), F.count_distinct("key").alias("n_keys"), F.sum(size).cast("long").alias("n_bytes"))
+
+
+def generated(spark: SparkSession, n: int, keys: int, value_bytes: int, seed: int = 42) -> DataFrame:
+    """A workload of puts and gets on uniform keys; hashes of the row number make it the same for any partitioning."""
+    h = F.xxhash64("id", F.lit(seed))
+    return spark.range(n).select(F.col("id").alias("seq"), F.when(F.pmod(h, F.lit(2)) == 0, "PUT").otherwise("GET").alias("op"), F.pmod(F.shiftright(h, 8), F.lit(keys)).cast("string").alias("key"), F.repeat(F.lit("0"), value_bytes).alias("value"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "replay": lambda s, d: log.replay(log.events_log(s, d)),
+    "replay_orders": lambda s, d: log.replay(log.orders_log(s, d)),
+    "latest_with_tombstones": lambda s, d: log.latest(log.events_log(s, d)),
+    "point_get": lambda s, d: log.replay(log.events_log(s, d).filter(F.col("key") == "7")),
+    "multi_get": lambda s, d: log.multi_get(log.events_log(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))),
+    "memtable_size": lambda s, d: log.memtable_sizes(log.events_log(s, d)),
+    "run_assignment": lambda s, d: runs.assigned(_runs(s, d)).select("run", "level").distinct(),
+    "compact_level": lambda s, d: runs.merge(_runs(s, d).withColumn("target", F.floor(F.col("run") / runs.FAN).cast("long")), "target").select("target", "key", "op", "value"),
+    "leveled_read": lambda s, d: runs.leveled_read(runs.assigned(_runs(s, d))),
+    "full_compaction": lambda s, d: runs.merge(_runs(s, d)).filter("op = 'PUT'").select("key", "value").orderBy("key"),
+    "run_stats": lambda s, d: runs.stats(_runs(s, d)),
+    "sparse_index_search": sparse_index_search,
+    "block_packing": page_blocks,
+    "flush_boundaries": lambda s, d: runs.flush_boundaries(log.events_log(s, d), LIMIT),
+    "wal_encode": lambda s, d: log.events_log(s, d).select("seq", codec.frame(F.col("op"), F.col("key"), F.col("value")).alias("frame")),
+    "manifest_parse": manifest_rows,
+    "orphan_runs": orphan_runs,
+    "missing_runs": missing_runs,
+    "command_responses": commands,
+    "range_scan": lambda s, d: log.replay(log.events_log(s, d).filter("key >= '1' AND key < '3'")).orderBy("key"),
+    "snapshot_scan": lambda s, d: log.replay(log.events_log(s, d).filter(F.col("seq") <= SNAPSHOT)),
+    "key_versions": lambda s, d: log.events_log(s, d).select("key", "seq", "op", F.expr("lead(seq) OVER (PARTITION BY key ORDER BY seq)").alias("valid_until")),
+    "merge_counter": lambda s, d: log.counters(log.events_log(s, d)),
+    "rejected_mutations": lambda s, d: log.events_log(s, d).withColumn("value", F.when(F.col("seq") % 10 == 0, "").otherwise(F.col("value"))).filter(~log.valid(None)).select("seq", "op", "key"),
+    "amplification": amplification,
+    "streaming_ingest": ingest.ingested_state,
+    "generated_workload": lambda s, d: generated(s, 50_000, 50_000, 100).groupBy("op").agg(F.count("*").alias("n_ops")),
+}
+
+_SIZE = "strlen(key) + coalesce(strlen(value), 0)"
+_LEVEL = "CASE " + " ".join(f"WHEN (n // {3 ** (i + 1)}) * {3 ** (i + 1)} <= run AND run < (n // {3**i}) * {3**i} THEN {i}" for i in range(12)) + " END"
+_ASSIGNED = f"WITH {LOG_SQL}, {RUNS_SQL}, a AS (SELECT run, op, key, value, CAST({_LEVEL} AS INTEGER) AS level FROM (SELECT run, op, key, value, (SELECT max(run) + 1 FROM runs) AS n FROM runs))"
+_LE64 = "concat(" + ", ".join(f"substr(lpad(hex({{0}}), 16, '0'), {i}, 2)" for i in range(15, 0, -2)) + ")"
+
+ORACLES: dict[str, str] = {
+    "replay": LIVE_SQL,
+    "replay_orders": LIVE_SQL.replace(LOG_SQL, "log AS (SELECT o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN 'DELETE' ELSE 'PUT' END AS op, CAST(o_custkey AS VARCHAR) AS key, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS value FROM orders)"),
+    "latest_with_tombstones": f"WITH {LOG_SQL}, {LATEST_SQL} SELECT seq, op, key, value FROM latest",
+    "point_get": f"{LIVE_SQL} AND key = '7'",
+    "multi_get": f"WITH live AS ({LIVE_SQL}) SELECT CAST(c_custkey AS VARCHAR) AS key, live.value FROM customer LEFT JOIN live ON live.key = CAST(c_custkey AS VARCHAR)",
+    "memtable_size": f"WITH {LOG_SQL}, s AS (SELECT seq, {_SIZE} - coalesce(lag({_SIZE}) OVER (PARTITION BY key ORDER BY seq), 0) AS d FROM log) SELECT seq, CAST(sum(d) OVER (ORDER BY seq) AS BIGINT) AS size_bytes FROM s",
+    "run_assignment": f"{_ASSIGNED} SELECT DISTINCT run, level FROM a",
+    "compact_level": f"WITH {LOG_SQL}, {RUNS_SQL} SELECT target, key, op, value FROM (SELECT run // 3 AS target, key, op, value, row_number() OVER (PARTITION BY run // 3, key ORDER BY run DESC) AS m FROM runs) WHERE m = 1",
+    "leveled_read": LIVE_SQL,
+    "full_compaction": LIVE_SQL,
+    "run_stats": f"WITH {LOG_SQL}, {RUNS_SQL} SELECT run, count(*) AS n_entries, count(DISTINCT key) AS n_keys, CAST(sum({_SIZE}) AS BIGINT) AS n_bytes, min(key) AS first_key, max(key) AS last_key FROM runs GROUP BY run",
+    "block_packing": "WITH RECURSIVE p AS (SELECT CAST(page_id AS VARCHAR) AS key, 16 + strlen(CAST(page_id AS VARCHAR)) + strlen(html) AS n, row_number() OVER (ORDER BY CAST(page_id AS VARCHAR)) AS rn FROM pages), r AS (SELECT rn, key, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS o, CAST(n AS BIGINT) AS used FROM p WHERE rn = 1 UNION ALL SELECT p.rn, p.key, CASE WHEN r.used >= 4000 THEN r.block + 1 ELSE r.block END, CASE WHEN r.used >= 4000 THEN r.o + r.used + 8 ELSE r.o END, CASE WHEN r.used >= 4000 THEN p.n ELSE r.used + p.n END FROM r JOIN p ON p.rn = r.rn + 1) SELECT CAST(0 AS BIGINT) AS run, key, block, o AS \"offset\" FROM r",
+    "wal_encode": f"WITH {LOG_SQL} SELECT seq, CASE op WHEN 'PUT' THEN '01' ELSE '02' END || {_LE64.format('CAST(strlen(key) AS BIGINT)')} || hex(key) || {_LE64.format('CAST(coalesce(strlen(value), 0) AS BIGINT)')} || hex(coalesce(value, '')) AS frame FROM log",
+    "manifest_parse": "SELECT CAST(level AS INTEGER) AS level, CAST(pos AS INTEGER) AS pos, run_id FROM (VALUES (0, 0, 'r1'), (0, 1, 'r2'), (2, 0, 'r3')) t(level, pos, run_id)",
+    "orphan_runs": "SELECT 'r9' AS name",
+    "missing_runs": "SELECT 'r2' AS name",
+    "command_responses": COMMANDS_SQL,
+    "range_scan": f"{LIVE_SQL} AND key >= '1' AND key < '3'",
+    "snapshot_scan": LIVE_SQL.replace("FROM events", f"FROM events WHERE event_id <= {SNAPSHOT}"),
+    "key_versions": f"WITH {LOG_SQL} SELECT key, seq, op, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS valid_until FROM log",
+    "merge_counter": f"WITH {LOG_SQL}, e AS (SELECT *, sum(CASE WHEN op = 'DELETE' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq DESC) AS ep FROM log) SELECT key, count(*) AS n_operands, CAST(sum(strlen(value)) AS BIGINT) AS operand_bytes FROM e WHERE ep = 0 GROUP BY key",
+    "rejected_mutations": f"WITH {LOG_SQL} SELECT seq, op, key FROM log WHERE seq % 10 = 0 AND op = 'PUT'",
+    "amplification": f"{_ASSIGNED} SELECT level, count(DISTINCT run) AS n_runs, count(*) AS n_entries, count(DISTINCT key) AS n_keys, CAST(sum({_SIZE}) AS BIGINT) AS n_bytes FROM a GROUP BY level",
+    "streaming_ingest": LIVE_SQL,
+}
