@@ -7,8 +7,9 @@ of either text, so it never exceeds the resemblance of the two sets and moved pa
 Documents of fewer than five words have one gram, all their words.
 
 Equal word sequences fall together before anything else. In each bucket the member with the largest
-buckets is compared with all others (a star, not all pairs). Members of a bucket that verified links
-leave in different classes are then compared with each other, pairs of one class left out, so that no
+buckets is compared with all others (a star, not all pairs); further rounds take other centres, by a
+hash, where a bucket still holds several classes. Members of a bucket that verified links leave in
+different classes are then compared with each other, pairs of one class left out, so that no
 link between different texts is lost. Classes are connected components of verified links, found by
 alternating stars over tables in the shared folder.
 
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM, SIMILARITY = 5, 0.8
-SKETCHES, SHARED = 20, 3
+SKETCHES, BINS = 20, 128
+#: Pairs with an estimate below this, three standard errors under the similarity, aren't aligned in the last pass.
+ESTIMATE = 0.68
 STEP = np.uint64(0x9E3779B97F4A7C15)
-SKETCHED = "doc_id long, digest binary, n_words int, sketch array<long>"
+SKETCHED = "doc_id long, digest binary, n_words int, sketch array<long>, bins binary"
 
 
 class WordHashes(dict):
@@ -97,6 +100,14 @@ def order_min_hash(grams: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
     return out
 
 
+def binned(grams: np.ndarray) -> bytes:
+    """The smallest hash in each of BINS ranges, in 16 bits; 0 where a range is empty. Equal bins estimate resemblance."""
+    h = _mix(labelled(grams) ^ STEP)
+    least = np.full(BINS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    np.minimum.at(least, (h >> np.uint64(57)).astype(np.int64), h)
+    return np.where(least == np.uint64(0xFFFFFFFFFFFFFFFF), 0, (_mix(least) & np.uint64(0xFFFF)) | np.uint64(1)).astype(np.uint16).tobytes()
+
+
 # ---------------------------------------------------------------- alignment
 
 
@@ -171,13 +182,15 @@ def sketched(docs: DataFrame, sketches: int = SKETCHES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            digest, n, sketch = [], [], []
+            digest, n, sketch, bins = [], [], [], []
             for text in b.column("text").to_pylist():
                 words = words_of(text, known)
                 digest.append(hashlib.md5(words.tobytes(), usedforsecurity=False).digest() if len(words) else None)
                 n.append(len(words))
-                sketch.append(order_min_hash(grams_of(words), sketches).view(np.int64) if len(words) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_words", "sketch"])
+                grams = grams_of(words)
+                sketch.append(order_min_hash(grams, sketches).view(np.int64) if len(words) else None)
+                bins.append(binned(grams) if len(words) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.list_(pa.int64())), pa.array(bins, pa.binary())], names=["doc_id", "digest", "n_words", "sketch", "bins"])
 
     return docs.mapInArrow(run, SKETCHED)
 
@@ -191,18 +204,21 @@ def stars(buckets: DataFrame) -> DataFrame:
     return paired.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def crossing(members: DataFrame, shared: int = SHARED) -> DataFrame:
+def crossing(members: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
     """Pairs inside buckets whose members lie in several classes, those of one class left out.
 
-    A pair must share so many sketches and is made in the first bucket it shares, so none comes twice.
-    members: band, key, id, class, sketch, of buckets with several classes, dealt and ordered by bucket.
+    A pair's bins must estimate so much resemblance, and it is made in the first bucket it shares, so none
+    comes twice. members: band, key, id, class, sketch, bins, of buckets with several classes, dealt and ordered by bucket.
     """
 
-    def pairs(ids: np.ndarray, classes: np.ndarray, sketch: np.ndarray, band: int) -> Iterator[pa.RecordBatch]:
+    def pairs(ids: np.ndarray, classes: np.ndarray, sketch: np.ndarray, bins: np.ndarray, band: int) -> Iterator[pa.RecordBatch]:
         for i in range(len(ids) - 1):
-            equal = sketch[i + 1 :] == sketch[i]
-            good = (classes[i + 1 :] != classes[i]) & (equal.sum(axis=1) >= shared) & (equal.argmax(axis=1) == band)
-            other = ids[i + 1 :][good]
+            other = np.flatnonzero((classes[i + 1 :] != classes[i]) & ((sketch[i + 1 :] == sketch[i]).argmax(axis=1) == band)) + i + 1
+            if not len(other):
+                continue
+            theirs = bins[other]
+            equal = ((theirs == bins[i]) & (theirs > 0)).sum(axis=1)
+            other = ids[other[equal >= estimate * ((theirs > 0) | (bins[i] > 0)).sum(axis=1)]]
             if len(other):
                 own = np.full(len(other), ids[i])
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other))], names=["a", "b"])
@@ -213,15 +229,16 @@ def crossing(members: DataFrame, shared: int = SHARED) -> DataFrame:
         for b in batches:
             band, key, ids, classes = (b.column(c).to_numpy() for c in ("band", "key", "id", "class"))
             sketch = b.column("sketch").flatten().to_numpy().reshape(len(b), -1)
+            bins = np.frombuffer(common.text_bytes(b.column("bins"))[0], dtype=np.uint16).reshape(len(b), -1)
             cuts = np.r_[0, np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1, len(b)] if len(b) else [0]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if at != (band[i], key[i]) and held:
-                    yield from pairs(*(np.concatenate([h[x] for h in held]) for x in range(3)), at[0])
+                    yield from pairs(*(np.concatenate([h[x] for h in held]) for x in range(4)), at[0])
                     held = []
                 at = (band[i], key[i])
-                held.append((ids[i:j], classes[i:j], sketch[i:j]))
+                held.append((ids[i:j], classes[i:j], sketch[i:j], bins[i:j]))
         if held:
-            yield from pairs(*(np.concatenate([h[x] for h in held]) for x in range(3)), at[0])
+            yield from pairs(*(np.concatenate([h[x] for h in held]) for x in range(4)), at[0])
 
     return members.mapInArrow(run, "a long, b long")
 
@@ -267,23 +284,33 @@ def components(links: DataFrame) -> DataFrame:
         previous = seen
 
 
-def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, shared: int = SHARED, least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, estimate: float = ESTIMATE, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
     """doc_id, class_id and n_links for each row; n_links counts verified links of the document's word sequence to others."""
     spark = common.session_of(docs)
     rows = common.documents(docs)
     all_rows = common.saved(sketched(rows, sketches), "sketches")
-    heads = common.saved(all_rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")), "heads")
+    heads = common.saved(all_rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins")), "heads")
     buckets = heads.select("id", F.posexplode("sketch").alias("band", "key"))
-    first = common.saved(verified(common.saved(stars(buckets), "pairs"), rows, least), "links")
-    classes = components(first)
-    # what the stars left in several classes
-    by_id = heads.select("id", "sketch").join(classes, "id", "left").select("id", "sketch", F.coalesce("class", "id").alias("class"))
-    exploded = by_id.select("id", "class", "sketch", F.posexplode("sketch").alias("band", "key"))
-    mixed = exploded.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("band", "key")
+    links = common.saved(verified(common.saved(stars(buckets), "pairs"), rows, least), "links")
+    classes = components(links)
+
+    def split_buckets() -> DataFrame:
+        """Members of the buckets that hold several classes."""
+        by_id = heads.select("id", "sketch", "bins").join(classes, "id", "left").select("id", "sketch", "bins", F.coalesce("class", "id").alias("class"))
+        exploded = by_id.select("id", "class", "sketch", "bins", F.posexplode("sketch").alias("band", "key"))
+        mixed = exploded.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("band", "key")
+        return exploded.join(mixed, ["band", "key"])
+
+    for r in range(rounds):
+        order = Window.partitionBy("band", "key").orderBy(F.xxhash64("id", F.lit(r)), "id")
+        centred = split_buckets().select("id", "class", F.first(F.struct("id", "class")).over(order).alias("centre"))
+        pairs = centred.filter("class <> centre.class").select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
+        links = common.saved(links.unionByName(verified(common.saved(pairs, "pairs"), rows, least)), "links")
+        classes = components(links)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = exploded.join(mixed, ["band", "key"]).repartition(n, "band", "key").sortWithinPartitions("band", "key", "id").select("band", "key", "id", "class", "sketch")
-    second = common.saved(verified(common.saved(crossing(members, shared), "pairs"), rows, least), "links")
-    links = first.unionByName(second).select("a", "b").distinct()
+    members = split_buckets().repartition(n, "band", "key").sortWithinPartitions("band", "key", "id").select("band", "key", "id", "class", "sketch", "bins")
+    last = verified(common.saved(crossing(members, estimate), "pairs"), rows, least)
+    links = common.saved(links.unionByName(last).select("a", "b").distinct(), "links")
     classes = components(links)
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count().withColumnRenamed("count", "n_links")
     known = heads.select("digest", "id").join(classes, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("class", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
