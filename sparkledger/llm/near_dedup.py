@@ -34,6 +34,8 @@ from . import common
 
 GRAM, SIMILARITY = 5, 0.8
 SKETCHES, BINS = 20, 128
+#: Hashes computed at once for a text.
+BLOCK = 1 << 17
 #: Pairs with an estimate below this, three standard errors under the similarity, aren't aligned in the last pass.
 ESTIMATE = 0.68
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -82,30 +84,43 @@ def labelled(grams: np.ndarray) -> np.ndarray:
     return _mix(grams + nth * STEP)
 
 
-def order_min_hash(grams: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
-    """A sketch for each hash function: its two smallest labelled grams in text order."""
-    items = labelled(grams)
+def order_min_hash(items: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
+    """A sketch for each hash function: its two smallest labelled grams in text order.
+
+    items: labelled grams. All functions are computed together, in blocks of bounded size for long texts.
+    """
+    seeds = _mix((np.arange(sketches, dtype=np.uint64) + np.uint64(1)) * STEP)
     out = np.empty(sketches, dtype=np.uint64)
-    for i in range(sketches):
-        h = _mix(items ^ _mix(np.array([i + 1], dtype=np.uint64) * STEP))
-        if len(h) == 1:
-            out[i] = _mix(h)[0]
+    block = max(1, BLOCK // len(items))
+    for i in range(0, sketches, block):
+        own = seeds[i : i + block, None]
+        h = (items[None, :] ^ own) * (own | np.uint64(1))
+        h ^= h >> np.uint64(32)
+        h *= STEP
+        if len(items) == 1:
+            out[i : i + block] = _mix(h[:, 0])
             continue
-        first = int(h.argmin())
-        low = h[first]
-        h[first] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        second = int(h.argmin())
-        a, b = (low, h[second]) if first < second else (h[second], low)
-        out[i] = _mix(np.array([a]) * STEP + b)[0]
+        at = np.arange(len(h))
+        first = h.argmin(axis=1)
+        low = h[at, first]
+        h[at, first] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        second = h.argmin(axis=1)
+        high, ahead = h[at, second], first < second
+        out[i : i + block] = _mix(np.where(ahead, low, high) * STEP + np.where(ahead, high, low))
     return out
 
 
-def binned(grams: np.ndarray) -> bytes:
-    """The smallest hash in each of BINS ranges, in 16 bits; 0 where a range is empty. Equal bins estimate resemblance."""
-    h = _mix(labelled(grams) ^ STEP)
-    least = np.full(BINS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    np.minimum.at(least, (h >> np.uint64(57)).astype(np.int64), h)
-    return np.where(least == np.uint64(0xFFFFFFFFFFFFFFFF), 0, (_mix(least) & np.uint64(0xFFFF)) | np.uint64(1)).astype(np.uint16).tobytes()
+def binned(items: np.ndarray) -> bytes:
+    """The smallest hash of labelled grams in each of BINS ranges, in 8 bits; 0 where a range is empty.
+
+    Equal bins estimate resemblance, never too low: chance makes one in 255 of unequal bins equal.
+    """
+    h = np.sort(_mix(items ^ STEP))
+    where = (h >> np.uint64(57)).astype(np.int64)
+    first = np.r_[True, where[1:] != where[:-1]]
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[where[first]] = _mix(h[first]) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
 
 
 # ---------------------------------------------------------------- alignment
@@ -187,9 +202,9 @@ def sketched(docs: DataFrame, sketches: int = SKETCHES) -> DataFrame:
                 words = words_of(text, known)
                 digest.append(hashlib.md5(words.tobytes(), usedforsecurity=False).digest() if len(words) else None)
                 n.append(len(words))
-                grams = grams_of(words)
-                sketch.append(order_min_hash(grams, sketches).view(np.int64) if len(words) else None)
-                bins.append(binned(grams) if len(words) else None)
+                items = labelled(grams_of(words)) if len(words) else None
+                sketch.append(order_min_hash(items, sketches).view(np.int64) if len(words) else None)
+                bins.append(binned(items) if len(words) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.list_(pa.int64())), pa.array(bins, pa.binary())], names=["doc_id", "digest", "n_words", "sketch", "bins"])
 
     return docs.mapInArrow(run, SKETCHED)
@@ -229,7 +244,7 @@ def crossing(members: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
         for b in batches:
             band, key, ids, classes = (b.column(c).to_numpy() for c in ("band", "key", "id", "class"))
             sketch = b.column("sketch").flatten().to_numpy().reshape(len(b), -1)
-            bins = np.frombuffer(common.text_bytes(b.column("bins"))[0], dtype=np.uint16).reshape(len(b), -1)
+            bins = np.frombuffer(common.text_bytes(b.column("bins"))[0], dtype=np.uint8).reshape(len(b), -1)
             cuts = np.r_[0, np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1, len(b)] if len(b) else [0]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if at != (band[i], key[i]) and held:
