@@ -27,17 +27,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 GRAM, SIMILARITY = 5, 0.8
-SKETCHES, BINS = 20, 128
+SKETCHES, BINS = 20, 512
 #: Hashes computed at once for a text.
 BLOCK = 1 << 17
-#: Pairs with an estimate below this, three standard errors under the similarity, aren't aligned in the last pass.
-ESTIMATE = 0.68
+#: Pairs with an estimate below this, 3.4 standard errors under the similarity, aren't aligned in the last pass.
+ESTIMATE = 0.74
+#: Members of a bucket that one task compares with each other or with as many others.
+MEMBERS = 1000
+#: Sorted five-grams that a worker remembers while it verifies pairs.
+REMEMBERED = 1 << 21
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SKETCHED = "doc_id long, digest binary, n_words int, sketch array<long>, bins binary"
 
@@ -116,7 +120,7 @@ def binned(items: np.ndarray) -> bytes:
     Equal bins estimate resemblance, never too low: chance makes one in 255 of unequal bins equal.
     """
     h = np.sort(_mix(items ^ STEP))
-    where = (h >> np.uint64(57)).astype(np.int64)
+    where = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.r_[True, where[1:] != where[:-1]]
     out = np.zeros(BINS, dtype=np.uint8)
     out[where[first]] = _mix(h[first]) % np.uint64(255) + np.uint64(1)
@@ -126,9 +130,8 @@ def binned(items: np.ndarray) -> bytes:
 # ---------------------------------------------------------------- alignment
 
 
-def gram_resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """The resemblance of the multisets of five-grams: an upper bound of aligned()."""
-    x, y = np.sort(labelled(grams_of(a))), np.sort(labelled(grams_of(b)))
+def resemblance(x: np.ndarray, y: np.ndarray) -> float:
+    """The resemblance of two sorted sets of labelled five-grams: an upper bound of aligned()."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both)
 
@@ -210,50 +213,78 @@ def sketched(docs: DataFrame, sketches: int = SKETCHES) -> DataFrame:
     return docs.mapInArrow(run, SKETCHED)
 
 
+def shared_buckets(heads: DataFrame) -> DataFrame:
+    """band, key, id and size of the buckets with several members; only counts are dealt by bucket before."""
+    buckets = heads.select("id", F.posexplode("sketch").alias("band", "key"))
+    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
+    return buckets.join(sizes, ["band", "key"])
+
+
 def stars(buckets: DataFrame) -> DataFrame:
-    """Pairs of each bucket's central member with the others. buckets: band, key, id, n_words."""
-    size = buckets.withColumn("size", F.count("*").over(Window.partitionBy("band", "key"))).filter("size > 1")
-    weight = size.groupBy("id").agg(F.sum("size").alias("weight"))
-    order = Window.partitionBy("band", "key").orderBy(F.desc("weight"), "id")
-    paired = size.join(weight, "id").withColumn("centre", F.first("id").over(order))
-    return paired.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    """Pairs of each bucket's central member, that with the largest buckets, with the others. buckets: band, key, id, size."""
+    weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
+    weighed = buckets.select("band", "key", "id").join(weight, "id")
+    centres = weighed.groupBy("band", "key").agg(F.min(F.struct(-F.col("weight"), "id"))["id"].alias("centre"))
+    paired = buckets.select("band", "key", "id").join(centres, ["band", "key"]).filter("id <> centre")
+    return paired.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def blocked(members: DataFrame, most: int = MEMBERS) -> DataFrame:
+    """Members dealt to pairs of blocks, so that no task holds a whole hot bucket. members: id, size and others.
+
+    Adds own, lo and hi: a member's block and the two blocks that meet; lo and hi are equal where one block meets itself.
+    """
+    n = F.ceil(F.col("size") / F.lit(most)).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "size")
 
 
 def crossing(members: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
     """Pairs inside buckets whose members lie in several classes, those of one class left out.
 
     A pair's bins must estimate so much resemblance, and it is made in the first bucket it shares, so none
-    comes twice. members: band, key, id, class, sketch, bins, of buckets with several classes, dealt and ordered by bucket.
+    comes twice. members: band, key, lo, hi, own, id, class, sketch, bins, dealt and ordered by the first four.
     """
-
-    def pairs(ids: np.ndarray, classes: np.ndarray, sketch: np.ndarray, bins: np.ndarray, band: int) -> Iterator[pa.RecordBatch]:
-        for i in range(len(ids) - 1):
-            other = np.flatnonzero((classes[i + 1 :] != classes[i]) & ((sketch[i + 1 :] == sketch[i]).argmax(axis=1) == band)) + i + 1
+    keys = ("band", "key", "lo", "hi")
+
+    def pairs(at: tuple, own: np.ndarray, ids: np.ndarray, classes: np.ndarray, sketch: np.ndarray, bins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        band, _, lo, hi = at
+        full = (bins > 0).sum(axis=1)
+        for i in np.flatnonzero(own == lo):
+            others = np.flatnonzero(own == hi) if lo < hi else np.arange(i + 1, len(ids))
+            other = others[classes[others] != classes[i]]
+            other = other[(sketch[other] == sketch[i]).argmax(axis=1) == band] if len(other) else other
             if not len(other):
                 continue
             theirs = bins[other]
             equal = ((theirs == bins[i]) & (theirs > 0)).sum(axis=1)
-            other = ids[other[equal >= estimate * ((theirs > 0) | (bins[i] > 0)).sum(axis=1)]]
+            either = full[other] + full[i] - ((theirs > 0) & (bins[i] > 0)).sum(axis=1)
+            other = ids[other[equal >= estimate * either]]
             if len(other):
-                own = np.full(len(other), ids[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other))], names=["a", "b"])
+                one = np.full(len(other), ids[i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
         for b in batches:
-            band, key, ids, classes = (b.column(c).to_numpy() for c in ("band", "key", "id", "class"))
-            sketch = b.column("sketch").flatten().to_numpy().reshape(len(b), -1)
-            bins = np.frombuffer(common.text_bytes(b.column("bins"))[0], dtype=np.uint8).reshape(len(b), -1)
-            cuts = np.r_[0, np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1, len(b)] if len(b) else [0]
+            if not len(b):
+                continue
+            key = [b.column(c).to_numpy() for c in keys]
+            rows = [b.column(c).to_numpy() for c in ("own", "id", "class")]
+            rows.append(b.column("sketch").flatten().to_numpy().reshape(len(b), -1))
+            rows.append(np.frombuffer(common.text_bytes(b.column("bins"))[0], dtype=np.uint8).reshape(len(b), -1))
+            changes = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
+            cuts = np.r_[0, np.flatnonzero(changes) + 1, len(b)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if at != (band[i], key[i]) and held:
-                    yield from pairs(*(np.concatenate([h[x] for h in held]) for x in range(4)), at[0])
+                here = tuple(int(k[i]) for k in key)
+                if held and at != here:
+                    yield from pairs(at, *(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
-                at = (band[i], key[i])
-                held.append((ids[i:j], classes[i:j], sketch[i:j], bins[i:j]))
+                at = here
+                held.append(tuple(r[i:j] for r in rows))
         if held:
-            yield from pairs(*(np.concatenate([h[x] for h in held]) for x in range(4)), at[0])
+            yield from pairs(at, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return members.mapInArrow(run, "a long, b long")
 
@@ -270,11 +301,26 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Da
     words = common.saved(docs.join(wanted, "doc_id", "left_semi").mapInArrow(hashes, "id long, words binary"), "words")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
+
+        def read(doc_id: int, raw: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+            """Words and sorted labelled grams of a document."""
+            nonlocal size
+            if doc_id not in known:
+                if size > REMEMBERED:
+                    known.clear()
+                    size = 0
+                own = np.frombuffer(raw.as_buffer(), dtype=np.uint32).astype(np.uint64)
+                known[doc_id] = own, np.sort(labelled(grams_of(own)))
+                size += len(own)
+            return known[doc_id]
+
         for b in batches:
             found = []
             for a, c, x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("x"), b.column("y"), strict=True):
-                u, v = (np.frombuffer(w.as_buffer(), dtype=np.uint32).astype(np.uint64) for w in (x, y))
-                if gram_resemblance(u, v) >= least and (s := aligned(u, v, least)) >= least:
+                (u, p), (v, q) = read(a, x), read(c, y)
+                if resemblance(p, q) >= least and (s := aligned(u, v, least)) >= least:
                     found.append((a, c, s))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["a", "b", "similarity"])
 
@@ -305,25 +351,27 @@ def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, estimate: float =
     rows = common.documents(docs)
     all_rows = common.saved(sketched(rows, sketches), "sketches")
     heads = common.saved(all_rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins")), "heads")
-    buckets = heads.select("id", F.posexplode("sketch").alias("band", "key"))
+    buckets = common.saved(shared_buckets(heads), "buckets")
     links = common.saved(verified(common.saved(stars(buckets), "pairs"), rows, least), "links")
     classes = components(links)
 
-    def split_buckets() -> DataFrame:
-        """Members of the buckets that hold several classes."""
-        by_id = heads.select("id", "sketch", "bins").join(classes, "id", "left").select("id", "sketch", "bins", F.coalesce("class", "id").alias("class"))
-        exploded = by_id.select("id", "class", "sketch", "bins", F.posexplode("sketch").alias("band", "key"))
-        mixed = exploded.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("band", "key")
-        return exploded.join(mixed, ["band", "key"])
+    def mixed(salt: int) -> tuple[DataFrame, DataFrame]:
+        """Members of shared buckets with their class, and the buckets of several classes with a centre chosen by a hash."""
+        members = buckets.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        centre = F.min(F.struct(F.xxhash64("id", F.lit(salt)), "id", "class")).alias("centre")
+        several = members.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), centre).filter("x <> y")
+        return members, several.select("band", "key", "centre")
 
     for r in range(rounds):
-        order = Window.partitionBy("band", "key").orderBy(F.xxhash64("id", F.lit(r)), "id")
-        centred = split_buckets().select("id", "class", F.first(F.struct("id", "class")).over(order).alias("centre"))
-        pairs = centred.filter("class <> centre.class").select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
+        members, several = mixed(r)
+        pairs = members.join(several, ["band", "key"]).filter("class <> centre.class").select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
         links = common.saved(links.unionByName(verified(common.saved(pairs, "pairs"), rows, least)), "links")
         classes = components(links)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = split_buckets().repartition(n, "band", "key").sortWithinPartitions("band", "key", "id").select("band", "key", "id", "class", "sketch", "bins")
+    members, several = mixed(rounds)
+    members = blocked(members.join(several.select("band", "key"), ["band", "key"])).join(heads.select("id", "sketch", "bins"), "id")
+    keys = ("band", "key", "lo", "hi")
+    members = members.repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "own", "id", "class", "sketch", "bins")
     last = verified(common.saved(crossing(members, estimate), "pairs"), rows, least)
     links = common.saved(links.unionByName(last).select("a", "b").distinct(), "links")
     classes = components(links)
