@@ -50,7 +50,7 @@ class WordHashes(dict):
     """Hashes of words; bounded, and the same in every worker."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
         return h
@@ -349,9 +349,12 @@ def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, estimate: float =
     """doc_id, class_id and n_links for each row; n_links counts verified links of the document's word sequence to others."""
     spark = common.session_of(docs)
     rows = common.documents(docs)
-    all_rows = common.saved(sketched(rows, sketches), "sketches")
-    heads = common.saved(all_rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins")), "heads")
-    buckets = common.saved(shared_buckets(heads), "buckets")
+    all_rows = common.saved(sketched(rows, sketches).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    # one row for each word sequence, found without its wide columns
+    known = all_rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("head"))
+    heads = common.saved(known.select("digest", F.col("head.doc_id").alias("id"), F.col("head.row").alias("row")), "heads")
+    by_row = heads.select("id", "row")
+    buckets = common.saved(shared_buckets(all_rows.select("row", "sketch").join(by_row, "row")), "buckets")
     links = common.saved(verified(common.saved(stars(buckets), "pairs"), rows, least), "links")
     classes = components(links)
 
@@ -369,7 +372,7 @@ def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, estimate: float =
         classes = components(links)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members, several = mixed(rounds)
-    members = blocked(members.join(several.select("band", "key"), ["band", "key"])).join(heads.select("id", "sketch", "bins"), "id")
+    members = blocked(members.join(several.select("band", "key"), ["band", "key"])).join(all_rows.select("row", "sketch", "bins").join(by_row, "row"), "id")
     keys = ("band", "key", "lo", "hi")
     members = members.repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "own", "id", "class", "sketch", "bins")
     last = verified(common.saved(crossing(members, estimate), "pairs"), rows, least)
