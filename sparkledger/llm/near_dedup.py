@@ -7,8 +7,8 @@ of either text, so it never exceeds the resemblance of the two sets and moved pa
 Documents of fewer than five words have one gram, all their words.
 
 Equal word sequences fall together before anything else. In each bucket the member with the largest
-buckets is compared with all others (a star, not all pairs); further rounds take other centres, by a
-hash, where a bucket still holds several classes. Members of a bucket that verified links leave in
+buckets is compared with all others (a star, not all pairs); a further round takes other centres, by a
+hash, where a bucket still holds several classes. Pairs whose binned hashes estimate too little are not aligned. Members of a bucket that verified links leave in
 different classes are then compared with each other, pairs of one class left out, so that no
 link between different texts is lost. Classes are connected components of verified links, found by
 alternating stars over tables in the shared folder.
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM, SIMILARITY = 5, 0.8
-SKETCHES, BINS = 20, 512
+SKETCHES, BINS, ROUNDS = 20, 512, 1
 #: Hashes computed at once for a text.
 BLOCK = 1 << 17
-#: Pairs with an estimate below this, 3.4 standard errors under the similarity, aren't aligned in the last pass.
+#: Pairs with an estimate below this, 3.4 standard errors under the similarity, aren't aligned.
 ESTIMATE = 0.74
 #: Members of a bucket that one task compares with each other or with as many others.
 MEMBERS = 1000
@@ -217,15 +217,15 @@ def shared_buckets(heads: DataFrame) -> DataFrame:
     """band, key, id and size of the buckets with several members; only counts are dealt by bucket before."""
     buckets = heads.select("id", F.posexplode("sketch").alias("band", "key"))
     sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    return buckets.join(sizes, ["band", "key"])
+    return buckets.join(sizes.hint("merge"), ["band", "key"])
 
 
 def stars(buckets: DataFrame) -> DataFrame:
     """Pairs of each bucket's central member, that with the largest buckets, with the others. buckets: band, key, id, size."""
     weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
-    weighed = buckets.select("band", "key", "id").join(weight, "id")
+    weighed = buckets.select("band", "key", "id").join(weight.hint("merge"), "id")
     centres = weighed.groupBy("band", "key").agg(F.min(F.struct(-F.col("weight"), "id"))["id"].alias("centre"))
-    paired = buckets.select("band", "key", "id").join(centres, ["band", "key"]).filter("id <> centre")
+    paired = buckets.select("band", "key", "id").join(centres.hint("merge"), ["band", "key"]).filter("id <> centre")
     return paired.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
@@ -289,16 +289,66 @@ def crossing(members: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """a, b and similarity of the pairs that the alignment confirms. Texts are dealt once, for the documents in pairs only."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def gathered(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """a, b, id and value, two rows for each pair that follow each other, a's first. values: id, value.
+
+    The values are dealt once for both members. Joins are merge joins at every size: both sides grow with the corpus.
+    """
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    found = asked.join(values.hint("merge"), "id").select("a", "b", "id", "value")
+    return found.repartition(n, "a", "b").sortWithinPartitions("a", "b", "id")
+
+
+def in_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches of gathered() that cut no pair, and where each pair's two rows are; of rows that share an id, the first counts."""
+
+    def places(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        one, two, own = (b.column(c).to_numpy() for c in ("a", "b", "id"))
+        new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+        return b, np.flatnonzero(new), np.flatnonzero(np.r_[False, (own[1:] == two[1:]) & ((own[:-1] != two[1:]) | new[1:])])
+
+    held = None
+    for b in batches:
+        if not len(b):
+            continue
+        held = pa.concat_batches([held, b]) if held is not None else b
+        one, two = held.column("a").to_numpy(), held.column("b").to_numpy()
+        other = np.flatnonzero((one != one[-1]) | (two != two[-1]))
+        if len(other):
+            yield places(held.slice(0, int(other[-1]) + 1))
+            held = held.slice(int(other[-1]) + 1)
+    if held is not None:
+        yield places(held)
+
+
+def likely(pairs: DataFrame, bins: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
+    """The pairs whose bins estimate so much resemblance. bins: id, value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, first, second in in_pairs(batches):
+            raw = np.frombuffer(common.text_bytes(b.column("value"))[0], dtype=np.uint8).reshape(len(b), -1)
+            x, y = raw[first], raw[second]
+            keep = ((x == y) & (x > 0)).sum(axis=1) >= estimate * ((x > 0) | (y > 0)).sum(axis=1)
+            yield b.select(["a", "b"]).take(pa.array(first[keep]))
+
+    return gathered(pairs, bins).mapInArrow(run, "a long, b long")
+
+
+def word_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and value, the hashes of its words, of the documents in ids; texts are dealt here and nowhere else."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([words_of(t, known).astype(np.uint32).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([words_of(t, known).astype(np.uint32).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "value"])
+
+    wanted = ids.select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(hashes, "id long, value binary")
 
-    words = common.saved(docs.join(wanted, "doc_id", "left_semi").mapInArrow(hashes, "id long, words binary"), "words")
+
+def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """a, b and similarity of the pairs that the alignment confirms. words: id, value."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -316,16 +366,15 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Da
                 size += len(own)
             return known[doc_id]
 
-        for b in batches:
-            found = []
-            for a, c, x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("x"), b.column("y"), strict=True):
-                (u, p), (v, q) = read(a, x), read(c, y)
+        for b, first, second in in_pairs(batches):
+            found, ids, raw = [], b.column("id").to_pylist(), b.column("value")
+            for i, j in zip(first.tolist(), second.tolist(), strict=True):
+                (u, p), (v, q) = read(ids[i], raw[i]), read(ids[j], raw[j])
                 if resemblance(p, q) >= least and (s := aligned(u, v, least)) >= least:
-                    found.append((a, c, s))
+                    found.append((ids[i], ids[j], s))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["a", "b", "similarity"])
 
-    one = pairs.join(words.withColumnsRenamed({"id": "a", "words": "x"}), "a")
-    return one.join(words.withColumnsRenamed({"id": "b", "words": "y"}), "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long, similarity double")
+    return gathered(pairs, words).mapInArrow(confirm, "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -335,9 +384,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = large.join(own.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         edges = common.saved(small, "edges")
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.max(F.struct(F.xxhash64("u", "v")))).first()
         if seen == previous:
@@ -345,7 +394,7 @@ def components(links: DataFrame) -> DataFrame:
         previous = seen
 
 
-def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, estimate: float = ESTIMATE, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, estimate: float = ESTIMATE, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, class_id and n_links for each row; n_links counts verified links of the document's word sequence to others."""
     spark = common.session_of(docs)
     rows = common.documents(docs)
@@ -353,34 +402,42 @@ def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, estimate: float =
     # one row for each word sequence, found without its wide columns
     known = all_rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("head"))
     heads = common.saved(known.select("digest", F.col("head.doc_id").alias("id"), F.col("head.row").alias("row")), "heads")
-    by_row = heads.select("id", "row")
+    by_row = heads.select("id", "row").hint("merge")
     buckets = common.saved(shared_buckets(all_rows.select("row", "sketch").join(by_row, "row")), "buckets")
-    links = common.saved(verified(common.saved(stars(buckets), "pairs"), rows, least), "links")
+    shared = buckets.select("id").distinct()
+    words = common.saved(word_table(rows, shared), "words")
+    wide = common.saved(all_rows.select("row", "sketch", "bins").join(by_row, "row").join(shared.hint("merge"), "id", "left_semi").drop("row"), "wide")
+    bins = wide.select("id", F.col("bins").alias("value"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return verified(common.saved(likely(common.saved(pairs, "pairs"), bins, estimate), "likely"), words, least)
+
+    links = common.saved(confirmed(stars(buckets)), "links")
     classes = components(links)
 
     def mixed(salt: int) -> tuple[DataFrame, DataFrame]:
         """Members of shared buckets with their class, and the buckets of several classes with a centre chosen by a hash."""
-        members = buckets.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        members = buckets.join(classes.hint("merge"), "id", "left").withColumn("class", F.coalesce("class", "id"))
         centre = F.min(F.struct(F.xxhash64("id", F.lit(salt)), "id", "class")).alias("centre")
         several = members.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), centre).filter("x <> y")
-        return members, several.select("band", "key", "centre")
+        return members, several.select("band", "key", "centre").hint("merge")
 
     for r in range(rounds):
         members, several = mixed(r)
         pairs = members.join(several, ["band", "key"]).filter("class <> centre.class").select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
-        links = common.saved(links.unionByName(verified(common.saved(pairs, "pairs"), rows, least)), "links")
+        links = common.saved(links.unionByName(confirmed(pairs)), "links")
         classes = components(links)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members, several = mixed(rounds)
-    members = blocked(members.join(several.select("band", "key"), ["band", "key"])).join(all_rows.select("row", "sketch", "bins").join(by_row, "row"), "id")
+    members = blocked(members.join(several.select("band", "key").hint("merge"), ["band", "key"])).join(wide.hint("merge"), "id")
     keys = ("band", "key", "lo", "hi")
     members = members.repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "own", "id", "class", "sketch", "bins")
-    last = verified(common.saved(crossing(members, estimate), "pairs"), rows, least)
+    last = verified(common.saved(crossing(members, estimate), "pairs"), words, least)
     links = common.saved(links.unionByName(last).select("a", "b").distinct(), "links")
     classes = components(links)
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count().withColumnRenamed("count", "n_links")
-    known = heads.select("digest", "id").join(classes, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("class", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = all_rows.select("doc_id", "digest").join(known, "digest", "left")
+    known = heads.select("digest", "id").join(classes.hint("merge"), "id", "left").join(degree.hint("merge"), "id", "left").select("digest", F.coalesce("class", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = all_rows.select("doc_id", "digest").join(known.hint("merge"), "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
