@@ -250,6 +250,8 @@ def crossing(members: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
     def pairs(at: tuple, own: np.ndarray, ids: np.ndarray, classes: np.ndarray, sketch: np.ndarray, bins: np.ndarray) -> Iterator[pa.RecordBatch]:
         band, _, lo, hi = at
         full = (bins > 0).sum(axis=1)
+        one: list[np.ndarray] = []
+        two: list[np.ndarray] = []
         for i in np.flatnonzero(own == lo):
             others = np.flatnonzero(own == hi) if lo < hi else np.arange(i + 1, len(ids))
             other = others[classes[others] != classes[i]]
@@ -260,9 +262,11 @@ def crossing(members: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
             equal = ((theirs == bins[i]) & (theirs > 0)).sum(axis=1)
             either = full[other] + full[i] - ((theirs > 0) & (bins[i] > 0)).sum(axis=1)
             other = ids[other[equal >= estimate * either]]
-            if len(other):
-                one = np.full(len(other), ids[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], names=["a", "b"])
+            one.append(np.full(len(other), ids[i]))
+            two.append(other)
+        if one:
+            a, b = np.concatenate(one), np.concatenate(two)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -384,9 +388,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = large.join(own, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         edges = common.saved(small, "edges")
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.max(F.struct(F.xxhash64("u", "v")))).first()
         if seen == previous:
@@ -417,10 +421,10 @@ def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, estimate: float =
 
     def mixed(salt: int) -> tuple[DataFrame, DataFrame]:
         """Members of shared buckets with their class, and the buckets of several classes with a centre chosen by a hash."""
-        members = buckets.join(classes.hint("merge"), "id", "left").withColumn("class", F.coalesce("class", "id"))
+        members = buckets.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
         centre = F.min(F.struct(F.xxhash64("id", F.lit(salt)), "id", "class")).alias("centre")
         several = members.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), centre).filter("x <> y")
-        return members, several.select("band", "key", "centre").hint("merge")
+        return members, several.select("band", "key", "centre")
 
     for r in range(rounds):
         members, several = mixed(r)
@@ -429,14 +433,14 @@ def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, estimate: float =
         classes = components(links)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members, several = mixed(rounds)
-    members = blocked(members.join(several.select("band", "key").hint("merge"), ["band", "key"])).join(wide.hint("merge"), "id")
+    members = blocked(members.join(several.select("band", "key"), ["band", "key"])).join(wide.hint("merge"), "id")
     keys = ("band", "key", "lo", "hi")
     members = members.repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "own", "id", "class", "sketch", "bins")
     last = verified(common.saved(crossing(members, estimate), "pairs"), words, least)
     links = common.saved(links.unionByName(last).select("a", "b").distinct(), "links")
     classes = components(links)
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count().withColumnRenamed("count", "n_links")
-    known = heads.select("digest", "id").join(classes.hint("merge"), "id", "left").join(degree.hint("merge"), "id", "left").select("digest", F.coalesce("class", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = heads.select("digest", "id").join(classes, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("class", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = all_rows.select("doc_id", "digest").join(known.hint("merge"), "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
