@@ -7,8 +7,8 @@ of either text, so it never exceeds the resemblance of the two sets and moved pa
 Documents of fewer than five words have one gram, all their words.
 
 Equal word sequences fall together before anything else. In each bucket the member with the largest
-buckets is compared with all others (a star, not all pairs); a further round takes other centres, by a
-hash, where a bucket still holds several classes. Pairs whose binned hashes estimate too little are not aligned. Members of a bucket that verified links leave in
+buckets is compared with all others (a star, not all pairs); pairs whose binned hashes rule the
+similarity out are not aligned. Members of a bucket that verified links leave in
 different classes are then compared with each other, pairs of one class left out, so that no
 link between different texts is lost. Classes are connected components of verified links, found by
 alternating stars over tables in the shared folder.
@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM, SIMILARITY = 5, 0.8
-SKETCHES, BINS, ROUNDS = 20, 512, 1
+SKETCHES, BINS = 20, 1024
 #: Hashes computed at once for a text.
 BLOCK = 1 << 17
-#: Pairs with an estimate below this, 3.4 standard errors under the similarity, aren't aligned.
-ESTIMATE = 0.74
+#: Pairs with an estimate so many standard errors under the similarity aren't aligned.
+MARGIN = 3.4
 #: Members of a bucket that one task compares with each other or with as many others.
 MEMBERS = 1000
 #: Sorted five-grams that a worker remembers while it verifies pairs.
@@ -117,14 +117,33 @@ def order_min_hash(items: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
 def binned(items: np.ndarray) -> bytes:
     """The smallest hash of labelled grams in each of BINS ranges, in 8 bits; 0 where a range is empty.
 
-    Equal bins estimate resemblance, never too low: chance makes one in 255 of unequal bins equal.
+    Equal bins estimate resemblance: chance makes one in 255 of unequal bins equal. The
+    number of grams follows in four bytes.
     """
     h = np.sort(_mix(items ^ STEP))
     where = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.r_[True, where[1:] != where[:-1]]
     out = np.zeros(BINS, dtype=np.uint8)
     out[where[first]] = _mix(h[first]) % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
+    return out.tobytes() + np.uint32(len(items)).tobytes()
+
+
+def bins_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of each row and its number of grams."""
+    raw = np.frombuffer(common.text_bytes(column)[0], dtype=np.uint8).reshape(len(column), BINS + 4)
+    return raw[:, :BINS], np.ascontiguousarray(raw[:, BINS:]).view(np.uint32)[:, 0].astype(np.int64)
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, grams: np.ndarray, least: float, margin: float) -> np.ndarray:
+    """Whether bins x and y leave it open that their texts, of so many grams together, resemble each other by least.
+
+    The bins that either fills are a sample, without replacement, of the union of both sets, so the equal ones
+    follow a hypergeometric distribution; one gram is allowed for rounding.
+    """
+    size = np.maximum(((x > 0) | (y > 0)).sum(axis=-1), 1)
+    union = grams / (1 + least)
+    error = np.sqrt(least * (1 - least) / size * np.clip((union - size) / np.maximum(union - 1, 1), 0, 1))
+    return ((x == y) & (x > 0)).sum(axis=-1) + 1 >= (least - margin * error) * size
 
 
 # ---------------------------------------------------------------- alignment
@@ -239,17 +258,16 @@ def blocked(members: DataFrame, most: int = MEMBERS) -> DataFrame:
     return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "size")
 
 
-def crossing(members: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
+def crossing(members: DataFrame, least: float = SIMILARITY, margin: float = MARGIN) -> DataFrame:
     """Pairs inside buckets whose members lie in several classes, those of one class left out.
 
-    A pair's bins must estimate so much resemblance, and it is made in the first bucket it shares, so none
+    A pair's bins must leave the similarity open, and it is made in the first bucket it shares, so none
     comes twice. members: band, key, lo, hi, own, id, class, sketch, bins, dealt and ordered by the first four.
     """
     keys = ("band", "key", "lo", "hi")
 
-    def pairs(at: tuple, own: np.ndarray, ids: np.ndarray, classes: np.ndarray, sketch: np.ndarray, bins: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(at: tuple, own: np.ndarray, ids: np.ndarray, classes: np.ndarray, sketch: np.ndarray, bins: np.ndarray, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
         band, _, lo, hi = at
-        full = (bins > 0).sum(axis=1)
         one: list[np.ndarray] = []
         two: list[np.ndarray] = []
         for i in np.flatnonzero(own == lo):
@@ -258,10 +276,7 @@ def crossing(members: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
             other = other[(sketch[other] == sketch[i]).argmax(axis=1) == band] if len(other) else other
             if not len(other):
                 continue
-            theirs = bins[other]
-            equal = ((theirs == bins[i]) & (theirs > 0)).sum(axis=1)
-            either = full[other] + full[i] - ((theirs > 0) & (bins[i] > 0)).sum(axis=1)
-            other = ids[other[equal >= estimate * either]]
+            other = ids[other[may_reach(bins[other], bins[i], grams[other] + grams[i], least, margin)]]
             one.append(np.full(len(other), ids[i]))
             two.append(other)
         if one:
@@ -277,7 +292,7 @@ def crossing(members: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
             key = [b.column(c).to_numpy() for c in keys]
             rows = [b.column(c).to_numpy() for c in ("own", "id", "class")]
             rows.append(b.column("sketch").flatten().to_numpy().reshape(len(b), -1))
-            rows.append(np.frombuffer(common.text_bytes(b.column("bins"))[0], dtype=np.uint8).reshape(len(b), -1))
+            rows.extend(bins_of(b.column("bins")))
             changes = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
             cuts = np.r_[0, np.flatnonzero(changes) + 1, len(b)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
@@ -326,14 +341,13 @@ def in_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         yield places(held)
 
 
-def likely(pairs: DataFrame, bins: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
-    """The pairs whose bins estimate so much resemblance. bins: id, value."""
+def likely(pairs: DataFrame, bins: DataFrame, least: float = SIMILARITY, margin: float = MARGIN) -> DataFrame:
+    """The pairs whose bins leave the similarity open. bins: id, value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, first, second in in_pairs(batches):
-            raw = np.frombuffer(common.text_bytes(b.column("value"))[0], dtype=np.uint8).reshape(len(b), -1)
-            x, y = raw[first], raw[second]
-            keep = ((x == y) & (x > 0)).sum(axis=1) >= estimate * ((x > 0) | (y > 0)).sum(axis=1)
+            own, grams = bins_of(b.column("value"))
+            keep = may_reach(own[first], own[second], grams[first] + grams[second], least, margin)
             yield b.select(["a", "b"]).take(pa.array(first[keep]))
 
     return gathered(pairs, bins).mapInArrow(run, "a long, b long")
@@ -398,7 +412,7 @@ def components(links: DataFrame) -> DataFrame:
         previous = seen
 
 
-def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, estimate: float = ESTIMATE, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, least: float = SIMILARITY, margin: float = MARGIN) -> DataFrame:
     """doc_id, class_id and n_links for each row; n_links counts verified links of the document's word sequence to others."""
     spark = common.session_of(docs)
     rows = common.documents(docs)
@@ -413,30 +427,15 @@ def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, estimate: float =
     wide = common.saved(all_rows.select("row", "sketch", "bins").join(by_row, "row").join(shared.hint("merge"), "id", "left_semi").drop("row"), "wide")
     bins = wide.select("id", F.col("bins").alias("value"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return verified(common.saved(likely(common.saved(pairs, "pairs"), bins, estimate), "likely"), words, least)
-
-    links = common.saved(confirmed(stars(buckets)), "links")
-    classes = components(links)
-
-    def mixed(salt: int) -> tuple[DataFrame, DataFrame]:
-        """Members of shared buckets with their class, and the buckets of several classes with a centre chosen by a hash."""
-        members = buckets.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        centre = F.min(F.struct(F.xxhash64("id", F.lit(salt)), "id", "class")).alias("centre")
-        several = members.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), centre).filter("x <> y")
-        return members, several.select("band", "key", "centre")
-
-    for r in range(rounds):
-        members, several = mixed(r)
-        pairs = members.join(several, ["band", "key"]).filter("class <> centre.class").select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
-        links = common.saved(links.unionByName(confirmed(pairs)), "links")
-        classes = components(links)
+    pairs = common.saved(likely(common.saved(stars(buckets), "pairs"), bins, least, margin), "likely")
+    links = common.saved(verified(pairs, words, least), "links")
+    members = buckets.join(components(links), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    several = members.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members, several = mixed(rounds)
     members = blocked(members.join(several.select("band", "key"), ["band", "key"])).join(wide.hint("merge"), "id")
     keys = ("band", "key", "lo", "hi")
     members = members.repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "own", "id", "class", "sketch", "bins")
-    last = verified(common.saved(crossing(members, estimate), "pairs"), words, least)
+    last = verified(common.saved(crossing(members, least, margin), "pairs"), words, least)
     links = common.saved(links.unionByName(last).select("a", "b").distinct(), "links")
     classes = components(links)
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count().withColumnRenamed("count", "n_links")
