@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, in DataFrame functions alone.
 
 A text becomes its lower-case words between single spaces. Rules are regular expressions over this
-form, each with a keyword; a rule is tried only on texts that hold its keyword as a word. Every match
-is a detection, an interval of words. A detection inside a longer one, or in an equal one of a rule
+form, each with a keyword that stands as a word in whatever the rule matches; a rule is tried only on
+texts that hold its keyword as a word, which loses nothing. Every match is a detection, an interval of words. A detection inside a longer one, or in an equal one of a rule
 that stands earlier, is suppressed. Texts without any keyword, nearly all, meet no rule.
 
 Rules come from families times versions times ways of writing, in order of priority: identifiers and
@@ -39,13 +39,16 @@ def _versioned(name: str, versions: str, keyword: str, full: str, short: str) ->
     for v in versions.split():
         spoken = " ".join(v.split("."))
         major = spoken.removesuffix(" 0")
+        word, first = short.split()[0], short + major.split()[0]
         said = f"(?:version |v |v|ver )?{major}(?: 0)?" if spoken != major else f"(?:version |v |v)?{spoken}"
         found += [
             Rule(f"{name}-{v}-or-later", keyword, rf"{full} {said}(?: of the license)? or (?:at your option )?(?:any )?later(?: version)?"),
             Rule(f"{name}-{v}-or-later", "spdx", rf"spdx license identifier {short} {spoken} or later"),
             Rule(f"{name}-{v}", "spdx", rf"spdx license identifier {short} {spoken}(?: only)?"),
             Rule(f"{name}-{v}", keyword, rf"{full} {said}"),
-            Rule(f"{name}-{v}", short.split()[0], rf"{short} (?:v|version )?{spoken}|{short} ?v?{major}(?: only)?"),
+            Rule(f"{name}-{v}", word, rf"{short} (?:v|version )?{spoken}|{short} v?{major}(?: only)?"),
+            Rule(f"{name}-{v}", first, rf"{short}{major}(?: only)?"),
+            Rule(f"{name}-{v}", first.replace(short, short + "v", 1), rf"{short}v{major}(?: only)?"),
         ]
     return found
 
@@ -77,12 +80,12 @@ def build_rules() -> list[Rule]:
         *_versioned("apache", "2.0 1.1 1.0", "apache", "apache (?:software )?license", "apache"),
         *_versioned("mpl", "2.0 1.1 1.0", "mozilla", "mozilla public license", "mpl"),
         *_versioned("epl", "2.0 1.0", "eclipse", "eclipse public license", "epl"),
-        *_versioned("cddl", "1.1 1.0", "cddl", "common development and distribution license", "cddl"),
+        *_versioned("cddl", "1.1 1.0", "distribution", "common development and distribution license", "cddl"),
         *_versioned("eupl", "1.2 1.1 1.0", "union", "european union public licen[cs]e", "eupl"),
         *_versioned("artistic", "2.0 1.0", "artistic", "artistic license", "artistic"),
         *_versioned("osl", "3.0 2.1 2.0", "open", "open software license", "osl"),
         *_versioned("afl", "3.0 2.1 2.0", "academic", "academic free license", "afl"),
-        *_versioned("ofl", "1.1 1.0", "sil", "(?:sil )?open font license", "ofl"),
+        *_versioned("ofl", "1.1 1.0", "font", "(?:sil )?open font license", "ofl"),
         *_versioned("odbl", "1.0", "database", "open (?:data commons )?database license", "odbl"),
         *_versioned("bsl", "1.0", "boost", "boost software license", "bsl"),
         *_versioned("zpl", "2.1 2.0", "zope", "zope public license", "zpl"),
@@ -99,9 +102,9 @@ def build_rules() -> list[Rule]:
         ("mit", "opensource", "opensource org licenses mit"), ("mit", "spdx", "spdx license identifier mit"), ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"), ("mit", "mit", "(?:expat )?mit licen[cs]e|licensed under (?:the )?(?:terms of the )?mit"), ("mit", "expat", "expat license"),
         ("isc", "isc", "isc license"), ("isc", "spdx", "spdx license identifier isc"), ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose"),
         ("bsd-2-clause", "bsd", "bsd 2 clause(?: license)?|simplified bsd license|(?:2|two) clause bsd(?: license)?"), ("bsd-3-clause", "bsd", "bsd 3 clause(?: license)?|(?:new|modified|revised) bsd license|(?:3|three) clause bsd(?: license)?"), ("bsd-4-clause", "bsd", "bsd 4 clause(?: license)?|original bsd license|(?:4|four) clause bsd(?: license)?"), ("0bsd", "bsd", "(?:0|zero) clause bsd(?: license)?"), ("bsd", "bsd", "bsd(?: style)? licen[cs]e"), ("bsd", "redistribution", "redistribution and use in source and binary forms"), ("bsd-3-clause", "endorse", "to endorse or promote products derived from this software"),
-        ("unlicense", "unlicense", "(?:the )?unlicense"), ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"), ("wtfpl", "wtfpl", "wtfpl"), ("zlib", "zlib", "zlib(?: libpng)? license"), ("zlib", "altered", "altered source versions must be plainly marked as such"), ("python", "python", "python software foundation license"), ("python", "psf", "psf license"), ("ruby", "ruby", "ruby license"), ("php", "php", "php license"), ("openssl", "openssl", "openssl license"), ("postgresql", "postgresql", "postgresql licen[cs]e"), ("vim", "vim", "vim license"), ("ncsa", "ncsa", "ncsa open source license"), ("json", "good", "shall be used for good not evil"), ("beerware", "beer", "beer ?ware license"), ("ms-pl", "microsoft", "microsoft public license"), ("ms-rl", "microsoft", "microsoft reciprocal license"),
+        ("unlicense", "unlicense", "(?:the )?unlicense"), ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"), ("wtfpl", "wtfpl", "wtfpl"), ("zlib", "zlib", "zlib(?: libpng)? license"), ("zlib", "altered", "altered source versions must be plainly marked as such"), ("python", "python", "python software foundation license"), ("python", "psf", "psf license"), ("ruby", "ruby", "ruby license"), ("php", "php", "php license"), ("openssl", "openssl", "openssl license"), ("postgresql", "postgresql", "postgresql licen[cs]e"), ("vim", "vim", "vim license"), ("ncsa", "ncsa", "ncsa open source license"), ("json", "good", "shall be used for good not evil"), ("beerware", "beer", "beer ware license"), ("beerware", "beerware", "beerware license"), ("ms-pl", "microsoft", "microsoft public license"), ("ms-rl", "microsoft", "microsoft reciprocal license"),
         ("apache", "apache", "apache (?:software )?license"), ("apache-2.0", "apache", "www apache org licenses license 2 0"), ("agpl", "affero", "affero general public license"), ("lgpl", "lesser", "lesser general public license"), ("lgpl", "library", "library general public license"), ("gpl", "gnu", "gnu general public license"), ("gpl", "gpl", "gpl"), ("lgpl", "lgpl", "lgpl"), ("agpl", "agpl", "agpl"), ("mpl", "mozilla", "mozilla public license"), ("epl", "eclipse", "eclipse public license"), ("gfdl", "documentation", "free documentation license"), ("artistic", "artistic", "artistic license"), ("ofl", "font", "open font license"), ("odbl", "database", "open database license"),
-        ("public-domain", "domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain|public domain dedication"), ("all-rights-reserved", "rights", "all rights reserved"), ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])*"), ("proprietary", "proprietary", "proprietary(?: and confidential| license| software)"), ("no-warranty", "warranty", "without warranty of any kind|as is without warrant(?:y|ies)"), ("license-reference", "licensed", "licensed under the [^ ]+(?: [^ ]+)? licen[cs]e"), ("license-reference", "license", "see (?:the )?license(?: file)?(?: for (?:more )?details)?"), ("license-reference", "license", "under the terms of the [^ ]+(?: [^ ]+)? license"),
+        ("public-domain", "domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain|public domain dedication"), ("all-rights-reserved", "rights", "all rights reserved"), ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])*"), ("proprietary", "proprietary", "proprietary(?: and confidential| license| software)"), ("no-warranty", "warranty", "without warranty of any kind|as is without warranty"), ("no-warranty", "warranties", "as is without warranties"), ("license-reference", "licensed", "licensed under the [^ ]+(?: [^ ]+)? licen[cs]e"), ("license-reference", "license", "see (?:the )?license(?: file)?(?: for (?:more )?details)?"), ("license-reference", "license", "under the terms of the [^ ]+(?: [^ ]+)? license"),
     ]
     return found + [Rule(*x) for x in single]
 
@@ -110,6 +113,20 @@ RULES = build_rules()
 KEYWORDS = sorted({r.keyword for r in RULES})
 
 
+def any_of(words: list[str]) -> str:
+    """A regular expression for any of the words, with their common beginnings written once."""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            rest.setdefault(w[0], []).append(w[1:])
+    parts = [c + any_of(ends) for c, ends in sorted(rest.items())]
+    if not parts:
+        return ""
+    if "" in words:
+        return "(?:" + "|".join(parts) + ")?"
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
 def spoken(text: Column) -> Column:
     """A-Z in lower case and words between single spaces, with one before and after all; one space if there are no words."""
     lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -163,7 +180,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spoken(F.col("text")).alias("norm"))
     rows = rows.withColumn("copy", F.xxhash64("norm"))
     base = rows.select("doc_id", "copy", (spaces(F.col("norm")) - 1).alias("n_words"), *[c.alias(n) for n, c in base_columns(F.col("norm")).items()])
-    gate = "(?<= )(?:" + "|".join(KEYWORDS) + ")(?= )"
+    gate = f" {any_of(KEYWORDS)} "
     hits = rows.filter(F.col("norm").rlike(gate)).select("doc_id", "copy", F.explode(detections()).alias("d")).select("doc_id", "copy", "d.*")
     order = Window.partitionBy("doc_id", "copy").orderBy("first", F.desc("end"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     kept = hits.withColumn("reach", F.max("end").over(order)).filter("reach IS NULL OR reach < end")
