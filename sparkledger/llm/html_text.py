@@ -1,23 +1,38 @@
-"""Main text of web pages: block structure, and a suffix array over the token streams of each host.
-
-The pages of a host come together in blocks of bounded size. Their visible tokens are concatenated,
-the suffixes ordered to the depth of ``min_tokens``, and neighbours in that order that agree to this
-depth and come from distinct pages mark their tokens as covered. Covered tokens of text that no
-container claims as article are boilerplate and go; unique runs stay. Text inside ``article`` or
-``main`` is the article itself: copies of an article on one host repeat too and must stay whole, so
-there coverage is reported (``n_repeated``) but takes nothing. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments go by their markup.
-
-Defined results: null or empty html, or html without text, gives an empty text. Null urls share the
-host ''. Unclosed elements end with the page; a tag cut off at the end of the page is markup. Repeated
-rows are pages of their own. An empty table gives no rows; other columns are ignored.
+"""Main text of web pages: block structure, and repetition over all pages of a host.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by their
+markup. Over all other blocks, in and out of ``article`` and ``main``, decides how many distinct page
+texts of the host hold them; equal pages count once, so copies of a page stay whole. With D distinct
+texts on the host, ``enough`` is a quarter of D, at least 2 and at most 100:
+
+* outside an article a block of ``min_tokens`` or more goes if it stands whole on ``enough`` texts; on
+  a page that has an article, shorter ones do too;
+* outside, a run of ``min_tokens`` or more inside another block goes if it stands on ``enough`` texts
+  and on 10 at least; a passage that fewer share stays;
+* inside an article only a block of ``min_tokens`` or more goes, if it stands whole on half of the
+  texts and on 10 at least;
+* a page of which nothing would remain keeps its text.
+
+``n_repeated`` counts the tokens in runs of ``min_tokens`` or more that another page of the host holds,
+a copy too. No host is gathered: windows of ``min_tokens`` tokens are known by 64-bit hashes. Of each
+window the smallest hash of four tokens in it is its anchor; only windows whose anchor two distinct
+texts share are counted and joined back. Results are exact but for collisions of hashes.
+
+Defined results: null or empty html, or html without text, gives an empty text. A page whose url is
+null or names no host is a host of its own. Unclosed elements end with the page; a tag cut off at the
+end of the page is markup. Repeated rows are pages of their own. An empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +62,7 @@ def marked(attributes: str) -> bool:
 
 
 def blocks_of(page: str) -> list[tuple[bool, str]]:
-    """The page's visible blocks in order, each with whether it stands in an article; text outside is left out where the page has an article."""
+    """The page's visible blocks in order, each with whether it stands in an article."""
     found: list[tuple[bool, str]] = []
     words: list[str] = []
     inside = 0
@@ -144,62 +159,234 @@ def repeated_tokens(streams: list[list[str]], min_tokens: int) -> list[np.ndarra
     return np.split(covered, np.cumsum(lengths)[:-1])
 
 
-def main_texts(pages: list[str], min_tokens: int) -> list[tuple[str, int]]:
-    """Text and number of repeated tokens of each page of one host."""
-    parsed = [blocks_of(p) for p in pages]
-    words = [[b[1].split(" ") for b in blocks] for blocks in parsed]
-    out = []
-    for blocks, parts, covered in zip(parsed, words, repeated_tokens([[w for p in parts for w in p] for parts in words], min_tokens), strict=True):
-        kept, k = [], 0
-        for (article, text), part in zip(blocks, parts, strict=True):
-            own = covered[k : k + len(part)]
-            k += len(part)
-            if not article and own.any():
+#: Tokens of an anchor, bits of the map of shared anchors (more shared anchors only let more windows through), and bits of one of its buckets.
+ANCHOR, BITS, BUCKET = 4, 1 << 27, 1 << 15
+HOST, WINDOW, BLOCK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+FACTOR = np.uint64(0xD6E8FEB86659FD93)
+_known: dict[str, int] = {}
+
+
+def hash_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of tokens, the same in every worker."""
+    if len(_known) > 1 << 19:
+        _known.clear()
+    for w in set(words).difference(_known):
+        _known[w] = hash_of(w)
+    return np.array([_known[w] for w in words], dtype=np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def grams(h: np.ndarray, n: int, seed: np.uint64) -> np.ndarray:
+    """Hashes of all runs of n tokens."""
+    out = np.zeros(max(0, len(h) - n + 1), dtype=np.uint64)
+    for i in range(n if len(out) else 0):
+        out = out * FACTOR + h[i : i + len(out)]
+    return mixed(out ^ seed)
+
+
+def anchors(h: np.ndarray, min_tokens: int, seed: np.uint64) -> np.ndarray:
+    """The anchor of each window of min_tokens tokens; equal windows have the same."""
+    if len(h) < min_tokens:
+        return np.zeros(0, dtype=np.uint64)
+    k = min(ANCHOR, min_tokens)
+    least, width, wanted = grams(h, k, seed), 1, min_tokens - k + 1
+    while width < wanted:
+        step = min(width, wanted - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    return least
+
+
+def key_of(blocks: list[tuple[bool, str]], host: str) -> int:
+    """Equal for equal texts of a host."""
+    return hash_of(host + "\n\n" + "\n\n".join(text for _, text in blocks))
+
+
+class Page:
+    """Blocks of a page with the hashes by which its host's pages are compared."""
+
+    def __init__(self, blocks: list[tuple[bool, str]], host: str, min_tokens: int):
+        self.blocks, self.min_tokens = blocks, min_tokens
+        self.seed = np.uint64(hash_of(host))
+        self.name = host
+        self.has_article = any(inside for inside, _ in blocks)
+
+    @cached_property
+    def parts(self) -> list[list[str]]:
+        return [text.split(" ") for _, text in self.blocks]
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return np.cumsum([len(p) for p in self.parts], dtype=np.int64)
+
+    @cached_property
+    def h(self) -> np.ndarray:
+        return hashes([w for p in self.parts for w in p])
+
+    @cached_property
+    def key(self) -> int:
+        return key_of(self.blocks, self.name)
+
+    def anchors(self) -> np.ndarray:
+        return anchors(self.h, self.min_tokens, self.seed)
+
+    def host(self) -> np.ndarray:
+        return mixed(np.array([self.seed ^ HOST], dtype=np.uint64))
+
+    def windows(self) -> np.ndarray:
+        return grams(self.h, self.min_tokens, self.seed ^ WINDOW)
+
+    def whole(self, i: int) -> np.ndarray:
+        """The hash of block i."""
+        n = len(self.parts[i])
+        return grams(self.h[self.ends[i] - n : self.ends[i]], n, self.seed ^ BLOCK ^ np.uint64(n))
+
+    def judged(self, i: int) -> bool:
+        """Whether block i may go as a whole."""
+        return len(self.parts[i]) >= self.min_tokens or self.has_article and not self.blocks[i][0]
+
+    def counted(self, shared: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Hashes whose distinct texts are to be counted: the host, and windows and blocks whose anchors are shared."""
+        if not self.blocks:
+            return np.zeros(0, dtype=np.uint64)
+        hit = shared(self.anchors())
+        found = [self.host(), self.windows()[hit] if hit.any() else hit[:0].astype(np.uint64)]
+        for i, part in enumerate(self.parts):
+            if self.judged(i) and (len(part) < self.min_tokens or hit[self.ends[i] - len(part)]):
+                found.append(self.whole(i))
+        return np.unique(np.concatenate(found))
+
+    def text(self, keys: np.ndarray, counts: np.ndarray, copies: int) -> tuple[str, int]:
+        """Text and number of repeated tokens; keys are sorted hashes with how many distinct texts of the host hold each."""
+
+        def count(h: np.ndarray) -> np.ndarray:
+            if not len(keys):
+                return np.ones(len(h), dtype=np.int64)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            return np.where(keys[at] == h, counts[at], 1)
+
+        def cover(start: np.ndarray) -> np.ndarray:
+            steps = np.zeros(len(self.h) + 1, dtype=np.int64)
+            at = np.flatnonzero(start)
+            steps[at] += 1
+            steps[at + self.min_tokens] -= 1
+            return np.cumsum(steps[:-1]) > 0
+
+        if copies < 2 and (not len(keys) or len(keys) == 1 and keys[0] == self.host()[0]):
+            return "\n\n".join(text for _, text in self.blocks), 0  # the host alone is held twice
+        pages = int(count(self.host())[0])
+        enough = max(2, min(-(-pages // 4), 100))
+        windows = count(self.windows())
+        cut = cover(windows >= max(10, enough))
+        kept = []
+        for i, ((inside, text), part) in enumerate(zip(self.blocks, self.parts, strict=True)):
+            if self.judged(i) and int(count(self.whole(i))[0]) >= (max(10, -(-pages // 2)) if inside else enough):
+                continue
+            own = cut[self.ends[i] - len(part) : self.ends[i]]
+            if not inside and own.any():
                 text = " ".join(w for w, c in zip(part, own, strict=True) if not c)
             if text:
                 kept.append(text)
-        out.append(("\n\n".join(kept), int(covered.sum())))
-    return out
+        return "\n\n".join(kept or [text for _, text in self.blocks]), int(cover((windows >= 2) | (copies > 1)).sum())
+
+
+def main_texts(pages: list[str], min_tokens: int) -> list[tuple[str, int]]:
+    """Text and number of repeated tokens of each page of one host, in memory; the suffix array counts the tokens."""
+    parsed = [Page(blocks_of(p), "", min_tokens) for p in pages]
+    copies = Counter(p.key for p in parsed)
+    held = Counter(int(h) for p in {p.key: p for p in parsed}.values() for h in p.counted(lambda a: np.ones(len(a), dtype=bool)))
+    keys = np.array(sorted(held), dtype=np.uint64)
+    counts = np.array([held[int(k)] for k in keys], dtype=np.int64)
+    covered = repeated_tokens([[w for part in p.parts for w in part] for p in parsed], min_tokens)
+    return [(p.text(keys, counts, copies[p.key])[0], int(c.sum())) for p, c in zip(parsed, covered, strict=True)]
+
+
+def packed(blocks: list[tuple[bool, str]]) -> bytes:
+    """Blocks as bytes; their texts hold no separators, which count as spaces."""
+    return zlib.compress("\x1e".join(("\x1f" if inside else "") + text for inside, text in blocks).encode("utf-8", "surrogatepass"), 6)
 
 
-def extract(pages: DataFrame, min_tokens: int = 12, block_pages: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
+def unpacked(data: bytes) -> list[tuple[bool, str]]:
+    text = zlib.decompress(data).decode("utf-8", "surrogatepass")
+    return [(t.startswith("\x1f"), t.removeprefix("\x1f")) for t in text.split("\x1e")] if text else []
+
+
+def long_of(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def extract(pages: DataFrame, min_tokens: int = 12) -> DataFrame:
     """page_id, url, text, n_chars and n_repeated for each page.
 
-    Pages are dealt by host; hosts with over a thousandth of all pages, of which there can be a thousand
-    at most, by host and a salt. Each task streams its pages ordered by host and builds a suffix array
-    for every block of a host's pages.
+    Anchors that two distinct texts of a host share are marked in a map of fixed size; windows and
+    blocks with marked anchors are counted by distinct text, and the counts joined to the pages by text.
     """
-    common.session_of(pages)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
-    counts = rows.groupBy(host.alias("hot")).count()
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    hot = counts.filter(F.col("count") > max(block_pages, total // 1000)).select("hot", F.ceil(F.col("count") / block_pages).cast("int").alias("salts"))
-    rows = rows.withColumn("host", host).join(F.broadcast(hot), F.col("host") == F.col("hot"), "left")
-    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("salts")), F.lit(0)))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "page_id").select("host", "salt", "page_id", "url", "html")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, key = 0, None
-
-        def flush() -> pa.RecordBatch:
-            texts = main_texts([h for _, _, h in held], min_tokens)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_repeated"])
+    spark = common.session_of(pages)
+    host = F.coalesce(F.regexp_extract(F.lower(F.col("url").cast("string")), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
+    hosted = rows.filter("host IS NOT NULL AND html <> ''").select("host", "html")
+
+    def emitted(own: Callable[[Page], np.ndarray]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found, keys = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+                for name, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    p = Page(blocks_of(page), name, min_tokens)
+                    found.append(own(p))
+                    keys.append(np.full(len(found[-1]), long_of(p.key)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys))], names=["h", "text_key"])
+
+        return run
+
+    first = hosted.mapInArrow(emitted(lambda p: np.unique(p.anchors())), "h long, text_key long")
+    marks = first.groupBy("h").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a <> b").select((F.pmod("h", F.lit(BITS)) + 1).alias("n"))
+    marks = marks.groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits")).collect()
+    sent = spark.sparkContext.broadcast({r.bucket - 1: bytes(r.bits) for r in marks})
 
+    dense: list[np.ndarray] = []
+
+    def shared(a: np.ndarray) -> np.ndarray:
+        if not dense:
+            dense.append(np.zeros(BITS >> 3, dtype=np.uint8))
+            for bucket, bits in sent.value.items():
+                dense[0][bucket * (BUCKET >> 3) : (bucket + 1) * (BUCKET >> 3)] = np.frombuffer(bits, dtype=np.uint8)
+        at = (a & np.uint64(BITS - 1)).astype(np.int64)
+        return (dense[0][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    pairs = hosted.mapInArrow(emitted(lambda p: p.counted(shared)), "h long, text_key long").groupBy("h", "text_key").agg(F.count("*").alias("copies"))
+    pairs = common.saved(pairs, "html-pairs")
+    held = pairs.groupBy("h").agg(F.count("*").alias("n"))
+    facts = pairs.join(held, "h").filter("n > 1 OR copies > 1").groupBy("text_key").agg(F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("h", "n"))).alias("held"))
+    facts = facts.select("text_key", "copies", F.col("held.h").alias("h"), F.col("held.n").alias("n"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for host, salt, page_id, url, page in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if held and (key != (host, salt) or len(held) >= block_pages or size >= block_bytes):
-                    yield flush()
-                    held, size = [], 0
-                key = (host, salt)
-                held.append((page_id, url, page or ""))
-                size += len(page or "")
-        if held:
-            yield flush()
-
-    return rows.mapInArrow(run, SCHEMA)
+            keys, data = [], []
+            for name, page in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                blocks = blocks_of(page or "")
+                data.append(packed(blocks))
+                keys.append(None if name is None else long_of(key_of(blocks, name)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["page_id", "url", "host", "text_key", "data"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for name, data, copies, h, n in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                keys = np.array(h or [], dtype=np.int64).view(np.uint64)
+                order = np.argsort(keys)
+                texts.append(Page(unpacked(data), name or "", min_tokens).text(keys[order], np.array(n or [], dtype=np.int64)[order], copies or 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_repeated"])
+
+    parsed = rows.mapInArrow(parse, "page_id long, url string, host string, text_key long, data binary")
+    return parsed.join(facts, "text_key", "left").select("page_id", "url", "host", "data", "copies", "h", "n").mapInArrow(finish, SCHEMA)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """What the review of round 1 asked for, one finding after another."""
 
 import itertools
+import random
 import re
 from re import _parser
 
-from sparkledger.llm import licenses
+from sparkledger.llm import html_text, licenses
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, batch string"
 
@@ -58,3 +59,35 @@ def test_license_keywords_lose_nothing(spark):
     assert got[len(texts) - 6].labels == "gpl-3.0"
     assert got[len(texts) - 5].labels == "agpl-3.0,epl-2.0,lgpl-2.1,mpl-2.0"
     assert [got[len(texts) - n].labels for n in (4, 3, 2, 1)] == ["cddl-1.0", "ofl-1.1", "beerware", "no-warranty"]
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 8))) for _ in range(n))
+
+
+def extracted(spark, rows):
+    return {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+def test_repeats_are_found_over_a_whole_host(spark):
+    boiler, pair, run = prose(1, 20), prose(2, 20), prose(3, 15)
+    rows = []
+    for i in range(700):
+        body = f"<p>{prose(100 + i, 30)}</p>"
+        if i % 4 == 0:
+            body += f"<p>{boiler}</p>"
+        if i in (3, 690):
+            body += f"<p>{pair}</p>"
+        if i % 5 == 0:
+            body += f"<p>{prose(5000 + i, 5)} {run}</p>"
+        rows.append((i, "http://hot.example/x", body))
+    got = extracted(spark, rows)
+    local = html_text.main_texts([r[2] for r in rows], 12)
+    assert [(got[i].text, got[i].n_repeated) for i in range(700)] == local
+    assert not any(boiler in r.text or run in r.text for r in got.values())
+    assert all(prose(100 + i, 30) in got[i].text for i in range(700))
+    assert [i for i in range(700) if pair in got[i].text] == [3, 690] and (got[3].n_repeated, got[690].n_repeated) == (20, 35)
