@@ -330,7 +330,7 @@ def extract(pages: DataFrame, min_tokens: int = 12) -> DataFrame:
     blocks with marked anchors are counted by distinct text, and the counts joined to the pages by text.
     """
     spark = common.session_of(pages)
-    host = F.coalesce(F.regexp_extract(F.lower(F.col("url").cast("string")), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
+    host = F.nullif(F.regexp_extract(F.lower(F.col("url").cast("string")), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
     hosted = rows.filter("host IS NOT NULL AND html <> ''").select("host", "html")
 

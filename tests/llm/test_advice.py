@@ -91,3 +91,13 @@ def test_repeats_are_found_over_a_whole_host(spark):
     assert not any(boiler in r.text or run in r.text for r in got.values())
     assert all(prose(100 + i, 30) in got[i].text for i in range(700))
     assert [i for i in range(700) if pair in got[i].text] == [3, 690] and (got[3].n_repeated, got[690].n_repeated) == (20, 35)
+
+
+def test_copies_and_shared_passages_without_article_stay(spark):
+    page, quote = f"<p>{prose(1, 40)}</p><p>{prose(2, 40)}</p>", prose(3, 15)
+    rows = [(1, "http://a/1", page), (2, "http://a/2", page), (3, None, page), (4, None, page), (5, "http://b/", f"<p>{prose(4, 9)} {quote} {prose(5, 9)}</p>"), (6, "http://b/", f"<p>{prose(6, 9)} {quote}</p>"), (7, "http://b/", None), (8, "about:blank", page)]
+    got = extracted(spark, rows)
+    whole = prose(1, 40) + "\n\n" + prose(2, 40)
+    assert all(got[i].text == whole for i in (1, 2, 3, 4, 8))
+    assert (got[1].n_repeated, got[3].n_repeated, got[8].n_repeated) == (80, 0, 0)
+    assert quote in got[5].text and quote in got[6].text and got[5].n_repeated == 15 and got[7].text == ""
