@@ -118,7 +118,7 @@ def blocks_of(page: str) -> list[tuple[bool, str]]:
         if tag in ARTICLE:
             inside += 1
     close()
-    return [b for b in found if b[0]] if any(b[0] for b in found) else found
+    return found
 
 
 def repeated_tokens(streams: list[list[str]], min_tokens: int) -> list[np.ndarray]:

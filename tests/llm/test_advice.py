@@ -101,3 +101,11 @@ def test_copies_and_shared_passages_without_article_stay(spark):
     assert all(got[i].text == whole for i in (1, 2, 3, 4, 8))
     assert (got[1].n_repeated, got[3].n_repeated, got[8].n_repeated) == (80, 0, 0)
     assert quote in got[5].text and quote in got[6].text and got[5].n_repeated == 15 and got[7].text == ""
+
+
+def test_text_outside_a_teaser_article_stays(spark):
+    notice, label = prose(1, 14), "read more here"
+    rows = [(i, "http://a/", f"<div>{prose(10 + i, 50)}</div><div>{label}</div><article>teaser {i}<p>{notice}</p></article>") for i in range(12)]
+    got = extracted(spark, rows)
+    for i in range(12):
+        assert got[i].text == f"{prose(10 + i, 50)}\n\nteaser {i}"
