@@ -17,13 +17,16 @@ def flush(log: DataFrame, every: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def level_of(run: Column, n_runs: Column, depth: int = 12) -> Column:
-    """The level in which a flush lies after n_runs flushes: level i holds its digit of n_runs in base FAN."""
+def level_of(run: Column, n_runs: Column) -> Column:
+    """The level in which a flush lies after n_runs flushes: level i holds its digit of n_runs in base FAN; there are levels for any long."""
+    limit, depth = 1 << 63, 1
+    while FAN**depth < limit:
+        depth += 1
     out = F.lit(None).cast("int")
     for i in reversed(range(depth)):
         high, low = FAN ** (i + 1), FAN**i
-        inside = (F.floor(n_runs / high) * high <= run) & (run < F.floor(n_runs / low) * low)
-        out = F.when(inside, F.lit(i)).otherwise(out)
+        begin = n_runs - n_runs % high if high < limit else F.lit(0)
+        out = F.when((begin <= run) & (run < n_runs - n_runs % low), F.lit(i)).otherwise(out)
     return out
 
 
