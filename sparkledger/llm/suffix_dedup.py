@@ -180,6 +180,8 @@ def merge_contexts(contexts: DataFrame, block: int = 20_000, length: int = LENGT
 
         def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             anchor, doc, pos, raw = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            once = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]  # rows that repeat a doc_id give each context again
+            anchor, doc, pos, raw = anchor[once], doc[once], pos[once], raw[once]
             group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])
             c, lo, hi = _runs(repeats(raw, group, length, gram), pos.astype(np.int64))
             return pa.RecordBatch.from_arrays([pa.array(doc[c]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["doc_id", "lo", "hi"])
@@ -214,7 +216,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     marked = find_anchors(rows, length, gram)
     marked = marked.withColumn("same", F.lag("context").over(own) == F.col("context")).withColumn("back", F.lag(place).over(own))
     marked = marked.withColumn("several", F.min("context").over(by_anchor) != F.max("context").over(by_anchor))
-    marked = marked.withColumn("same", F.coalesce(F.col("same") & (F.col("back") != place), F.lit(False))).filter("same OR several").select("anchor", "doc_id", "pos", "same")
+    marked = marked.filter(~F.coalesce(F.col("same") & (F.col("back") == place), F.lit(False)))  # a repeated row's anchors count once
+    marked = marked.withColumn("same", F.coalesce("same", F.lit(False))).filter("same OR several").select("anchor", "doc_id", "pos", "same")
     marked = common.saved(marked, "marked")
     whole = marked.filter("same").select("doc_id", F.greatest(F.lit(0), F.col("pos") - (width - 1)).alias("lo"), F.col("pos").alias("hi"))
     wanted = marked.filter("NOT same").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos")).alias("wanted"))

@@ -1,11 +1,12 @@
 """What the review of round 1 asked for, one finding after another."""
 
+import hashlib
 import itertools
 import random
 import re
 from re import _parser
 
-from sparkledger.llm import html_text, licenses
+from sparkledger.llm import html_text, licenses, suffix_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, batch string"
 
@@ -109,3 +110,19 @@ def test_text_outside_a_teaser_article_stays(spark):
     got = extracted(spark, rows)
     for i in range(12):
         assert got[i].text == f"{prose(10 + i, 50)}\n\nteaser {i}"
+
+
+def test_repeated_ids_match_no_row_of_their_own(spark):
+    shared = prose(1, 60)
+    own = {1: prose(2, 60) + " " + shared, 2: shared + " " + prose(3, 60), 3: prose(4, 60) + " " + shared + " " + prose(5, 30), 4: prose(6, 80)}
+    seen, want = set(), {}
+    for i, text in own.items():
+        b, gone = text.encode(), set()
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone.update(range(k, k + 100))
+            seen.add(b[k : k + 100])
+        want[i] = (len(gone), hashlib.sha256(bytes(x for k, x in enumerate(b) if k not in gone)).hexdigest())
+    rows = [(i, own[i]) for i in (1, 2, 2, 3, 3, 3, 4, 4, 1)]
+    got = suffix_dedup.cleaned(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in got) == sorted((i, *want[i]) for i, _ in rows)
