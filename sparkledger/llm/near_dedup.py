@@ -413,7 +413,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, least: float = SIMILARITY, margin: float = MARGIN) -> DataFrame:
-    """doc_id, class_id and n_links for each row; n_links counts verified links of the document's word sequence to others."""
+    """doc_id, class_id and n_links for each row; n_links counts the verified links found for its word sequence.
+
+    Links are looked for by stars in each bucket and between the classes that these leave, so documents of
+    one class may be similar without a link of their own: n_links is at most the number of similar ones.
+    """
     spark = common.session_of(docs)
     rows = common.documents(docs)
     all_rows = common.saved(sketched(rows, sketches).withColumn("row", F.monotonically_increasing_id()), "sketches")
