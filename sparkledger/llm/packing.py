@@ -17,12 +17,12 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 from . import common
 
 REMEMBERED = 400_000
-#: Characters that the normalizer only lower-cases, one by one.
-PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ž]*")
-#: Fixed value: the split pattern of the vocabulary file.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Texts whose characters the normalizer only lower-cases, one by one.
+PLAIN = re.compile("[\n\x20-\x7eÀ-ÖØ-öø-įı-ž]*")
+#: Fixed value: the split pattern of the vocabulary file, as it reads on plain texts.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, pid int, local long"
 
 
-class Words(dict):
-    """The ids of words between spaces, as little-endian 32-bit numbers."""
+class Matches(dict):
+    """The ids of each match of the split pattern, as little-endian 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -48,43 +48,55 @@ class Words(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.model, self.chars = self.whole.model, byte_alphabet()
-        self.matches: dict[str, bytes] = {}
+        self.model = self.whole.model
+        self.chars = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
+        #: Strings that the library takes for one id of their own before it splits a text.
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, match: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
+        written = match if match.isascii() else match.encode().decode("latin-1").translate(self.chars)
+        self[match] = ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        return ids
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
         if PLAIN.fullmatch(word):
-            out = b"".join(map(self._match, SPLIT.findall(word.lower())))
-        else:
-            out = np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self[word] = out
-        return out
-
-    def _match(self, match: str) -> bytes:
-        out = self.matches.get(match)
-        if out is None:
-            if len(self.matches) >= REMEMBERED:
-                self.matches.clear()
-            out = self.matches[match] = np.array([t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, match.encode())))], dtype="<u4").tobytes()
-        return out
+            return b"".join(map(self.__getitem__, SPLIT.findall(word.lower())))
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            ids = self.words[word] = self.library(word)
+        return ids
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text. White space is dropped by the vocabulary, so words between spaces and line ends encode alone."""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        """The ids of a text, as the library gives them.
+
+        Plain texts are split here; in others, words between spaces and line ends encode alone, since the
+        vocabulary drops white space. A text that holds an added token goes to the library whole.
+        """
+        if any(t in text for t in self.added):
+            return self.library(text)
+        if PLAIN.fullmatch(text):
+            return b"".join(map(self.__getitem__, SPLIT.findall(text.lower())))
+        return b"".join(map(self.word, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(maxsize=2)
-def words(path: str) -> Words:
-    return Words(path)
+def matches(path: str) -> Matches:
+    return Matches(path)
 
 
 def cut(docs: DataFrame, path: str, limit: int, end_id: int, keep_ids: bool) -> DataFrame:
     """The pieces of each document, with the task that made them and their rank in it among pieces of their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, last = words(path), int(end_id).to_bytes(4, "little")
+        vocabulary, last = matches(path), int(end_id).to_bytes(4, "little")
         seen: dict[int, int] = defaultdict(int)
         pid = TaskContext.get().partitionId()
         for b in batches:

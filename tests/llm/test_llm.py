@@ -88,13 +88,13 @@ def test_packing(spark):
     import public_tokenizers as p
     from tokenizers import Tokenizer
 
-    rows = [(i, " ".join(words(i, random.Random(i).randrange(1, 3000)))) for i in range(25)] + [(30, None), (31, "É İ x")]
+    rows = [(i, " ".join(words(i, random.Random(i).randrange(1, 3000)))) for i in range(25)] + [(30, None), (31, "É İ x"), (32, "hello <|endoftext|> world"), (33, "a<|startoftext|>b<|endoftext|>"), (34, "<|endoftext"), (35, "a\tb\x1cc 'll _x_ 12"), (36, "日本語 ’s été"), (36, "日本語 ’s été")]
     got = packing.pack(docs(spark, rows)).collect()
     whole = Tokenizer.from_file(p.path("word_bpe_49k.json"))
     for i, t in rows:
         ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
         own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
-        assert sum(r.length for r in own) == len(ids) == own[0].doc_tokens
+        assert sum(r.length for r in own) == len(ids) * sum(j == i for j, _ in rows) and own[0].doc_tokens == len(ids)
         assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
     packs = {}
     for r in got:
