@@ -13,14 +13,21 @@ texts on the host, ``enough`` is a quarter of D, at least 2 and at most 100:
   texts and on 10 at least;
 * a page of which nothing would remain keeps its text.
 
-``n_repeated`` counts the tokens in runs of ``min_tokens`` or more that another page of the host holds,
-a copy too. No host is gathered: windows of ``min_tokens`` tokens are known by 64-bit hashes. Of each
-window the smallest hash of four tokens in it is its anchor; only windows whose anchor two distinct
-texts share are counted and joined back. Results are exact but for collisions of hashes.
+``n_repeated`` counts the tokens outside articles in runs of ``min_tokens`` or more that another page of
+the host holds, a copy too. No host is gathered: each distinct text of a host is one row, its windows of
+``min_tokens`` tokens outside articles are known by 64-bit hashes. Of each window the smallest hash of
+four tokens in it is its anchor; only windows whose anchor two texts share are counted and joined back.
+Results are exact but for collisions of hashes.
+
+Elements are left out by whole class names, ids and roles, never by parts of them: of names joined by
+``-`` or ``_`` the last word tells (``site-footer``), or the first before a word for a container
+(``comment-list``). ``main`` and ``article`` don't go by a class of their own, and where they stand in
+an element that is left out, they are read unless it holds comments, asides or related pages. A page
+with text in an article that all its wrappers would leave out is read by its elements alone.
 
 Defined results: null or empty html, or html without text, gives an empty text. A page whose url is
 null or names no host is a host of its own. Unclosed elements end with the page; a tag cut off at the
-end of the page is markup. Repeated rows are pages of their own. An empty table gives no rows; other
+end of the page is markup, and so is one with a quote that is never closed. Repeated rows are pages of their own. An empty table gives no rows; other
 columns are ignored.
 """
 
@@ -51,22 +58,38 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo search".split())
 ARTICLE = frozenset(("article", "main"))
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|([^<]+|<)", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*)(?:>|\Z)|([^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORD = re.compile(r"[^\s_-]+")
+PART = re.compile(r"[^_-]+")
+#: Words after a mark that name a container of such things.
+CONTAINERS = frozenset("area bar block body box container content form inner item items link links list panel section text title widget wrap wrapper".split())
+#: Marks of what may hold articles of its own that are no part of the page's.
+ASIDE = frozenset("aside footer comment comments commentlist disqus related replies respond sidebar complementary contentinfo".split())
 SCHEMA = "page_id long, url string, text string, n_chars long, n_repeated long"
 
 
-def marked(attributes: str) -> bool:
-    return any(w in MARKS for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+def mark_of(attributes: str) -> str:
+    """The mark that a class, id or role names, or nothing."""
+    for m in ATTRIBUTE.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = PART.findall(name)
+            if not parts or parts[0] in ("has", "no", "non", "not", "with", "without"):
+                continue
+            if parts[-1] in MARKS:
+                return parts[-1]
+            if parts[0] in MARKS and parts[-1] in CONTAINERS:
+                return parts[0]
+    return ""
 
 
-def blocks_of(page: str) -> list[tuple[bool, str]]:
+def blocks_of(page: str, by_class: bool = True) -> list[tuple[bool, str]]:
     """The page's visible blocks in order, each with whether it stands in an article."""
     found: list[tuple[bool, str]] = []
     words: list[str] = []
     inside = 0
-    skip, depth = "", 0  # the element that is skipped, and how many of its name are open
+    skip, depth, mark = "", 0, ""  # the element that is left out, how many of its name are open, and why
+    held: list[tuple[str, int, str, int]] = []  # left out again after the article that stands in them
+    passed = False
 
     def close() -> None:
         if words:
@@ -97,28 +120,38 @@ def blocks_of(page: str) -> list[tuple[bool, str]]:
                 close()
             if tag in ARTICLE:
                 inside = max(0, inside - 1)
+                if held and held[-1][3] == inside:
+                    skip, depth, mark, _ = held.pop()
+            elif held and tag in ("form", "body", "html"):
+                held.clear()  # the article was never closed
             continue
         if skip:
             if tag == skip and not m[4].endswith("/"):
                 depth += 1
-            elif tag == "body" or tag in ARTICLE and skip in ("nav", "header", "head"):
-                skip, depth = "", 0  # the skipped element was never closed
+            elif tag == "body":
+                skip, depth = "", 0  # the element was never closed
+            elif tag in ARTICLE and (tag == "main" or mark not in ASIDE):
+                held.append((skip, depth, mark, inside))
+                skip, depth = "", 0
+            elif tag in ARTICLE:
+                passed = True
             if skip:
                 continue
         if tag in VOID:
             close() if tag == "hr" else words.append(" ")
             continue
-        if tag in SKIPPED or (m[4] and tag not in ("html", "body") and marked(m[4])):
+        why = tag if tag in SKIPPED else mark_of(m[4]) if by_class and m[4] and tag not in ("html", "body", "main", "article") else ""
+        if why:
             if not m[4].endswith("/"):
                 close()
-                skip, depth = tag, 1
+                skip, depth, mark = tag, 1, why
             continue
         if tag in BLOCKS:
             close()
         if tag in ARTICLE:
             inside += 1
     close()
-    return found
+    return blocks_of(page, False) if by_class and passed and not found else found
 
 
 def repeated_tokens(streams: list[list[str]], min_tokens: int) -> list[np.ndarray]:
@@ -159,10 +192,9 @@ def repeated_tokens(streams: list[list[str]], min_tokens: int) -> list[np.ndarra
     return np.split(covered, np.cumsum(lengths)[:-1])
 
 
-#: Tokens of an anchor, bits of the map of shared anchors (more shared anchors only let more windows through), and bits of one of its buckets.
-ANCHOR, BITS, BUCKET = 4, 1 << 27, 1 << 15
-HOST, WINDOW, BLOCK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-FACTOR = np.uint64(0xD6E8FEB86659FD93)
+#: Tokens of an anchor.
+ANCHOR = 4
+WINDOW, FACTOR = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _known: dict[str, int] = {}
 
 
@@ -214,55 +246,51 @@ class Page:
     """Blocks of a page with the hashes by which its host's pages are compared."""
 
     def __init__(self, blocks: list[tuple[bool, str]], host: str, min_tokens: int):
-        self.blocks, self.min_tokens = blocks, min_tokens
-        self.seed = np.uint64(hash_of(host))
-        self.name = host
+        self.blocks, self.name, self.min_tokens = blocks, host, min_tokens
         self.has_article = any(inside for inside, _ in blocks)
 
     @cached_property
-    def parts(self) -> list[list[str]]:
-        return [text.split(" ") for _, text in self.blocks]
+    def key(self) -> int:
+        return key_of(self.blocks, self.name)
 
     @cached_property
-    def ends(self) -> np.ndarray:
-        return np.cumsum([len(p) for p in self.parts], dtype=np.int64)
+    def stream(self) -> list[str]:
+        """The tokens outside articles."""
+        return [w for inside, text in self.blocks if not inside for w in text.split(" ")]
 
     @cached_property
     def h(self) -> np.ndarray:
-        return hashes([w for p in self.parts for w in p])
+        return hashes(self.stream)
 
-    @cached_property
-    def key(self) -> int:
-        return key_of(self.blocks, self.name)
+    def host(self) -> int:
+        return hash_of("host\n" + self.name)
 
-    def anchors(self) -> np.ndarray:
-        return anchors(self.h, self.min_tokens, self.seed)
+    def seed(self) -> np.uint64:
+        return np.uint64(hash_of(self.name))
 
-    def host(self) -> np.ndarray:
-        return mixed(np.array([self.seed ^ HOST], dtype=np.uint64))
+    def anchors(self) -> np.ndarray:
+        return anchors(self.h, self.min_tokens, self.seed())
 
     def windows(self) -> np.ndarray:
-        return grams(self.h, self.min_tokens, self.seed ^ WINDOW)
-
-    def whole(self, i: int) -> np.ndarray:
-        """The hash of block i."""
-        n = len(self.parts[i])
-        return grams(self.h[self.ends[i] - n : self.ends[i]], n, self.seed ^ BLOCK ^ np.uint64(n))
-
-    def judged(self, i: int) -> bool:
-        """Whether block i may go as a whole."""
-        return len(self.parts[i]) >= self.min_tokens or self.has_article and not self.blocks[i][0]
-
-    def counted(self, shared: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """Hashes whose distinct texts are to be counted: the host, and windows and blocks whose anchors are shared."""
-        if not self.blocks:
-            return np.zeros(0, dtype=np.uint64)
-        hit = shared(self.anchors())
-        found = [self.host(), self.windows()[hit] if hit.any() else hit[:0].astype(np.uint64)]
-        for i, part in enumerate(self.parts):
-            if self.judged(i) and (len(part) < self.min_tokens or hit[self.ends[i] - len(part)]):
-                found.append(self.whole(i))
-        return np.unique(np.concatenate(found))
+        return grams(self.h, self.min_tokens, self.seed() ^ WINDOW)
+
+    def whole(self, text: str) -> int:
+        """The hash of a block on this host."""
+        return hash_of(f"block\n{self.name}\n{text}")
+
+    def judged(self, inside: bool, text: str) -> bool:
+        """Whether a block may go as a whole."""
+        return self.has_article and not inside or text.count(" ") + 1 >= self.min_tokens
+
+    def units(self) -> np.ndarray:
+        """Hashes of the host and of the blocks that may go as a whole."""
+        return np.array(sorted({self.host(), *(self.whole(t) for inside, t in self.blocks if self.judged(inside, t))}) if self.blocks else [], dtype=np.uint64)
+
+    def counted(self, shared: np.ndarray) -> np.ndarray:
+        """Hashes of the windows whose anchors are shared, a sorted array."""
+        own = self.anchors()
+        at = np.minimum(np.searchsorted(shared, own), max(0, len(shared) - 1))
+        return np.unique(self.windows()[shared[at] == own] if len(shared) else self.windows()[:0])
 
     def text(self, keys: np.ndarray, counts: np.ndarray, copies: int) -> tuple[str, int]:
         """Text and number of repeated tokens; keys are sorted hashes with how many distinct texts of the host hold each."""
@@ -273,26 +301,32 @@ class Page:
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             return np.where(keys[at] == h, counts[at], 1)
 
+        def one(h: int) -> int:
+            return int(count(np.array([h], dtype=np.uint64))[0])
+
         def cover(start: np.ndarray) -> np.ndarray:
-            steps = np.zeros(len(self.h) + 1, dtype=np.int64)
+            steps = np.zeros(len(self.stream) + 1, dtype=np.int64)
             at = np.flatnonzero(start)
             steps[at] += 1
             steps[at + self.min_tokens] -= 1
             return np.cumsum(steps[:-1]) > 0
 
-        if copies < 2 and (not len(keys) or len(keys) == 1 and keys[0] == self.host()[0]):
+        if copies < 2 and (not len(keys) or len(keys) == 1 and keys[0] == self.host()):
             return "\n\n".join(text for _, text in self.blocks), 0  # the host alone is held twice
-        pages = int(count(self.host())[0])
+        pages = one(self.host())
         enough = max(2, min(-(-pages // 4), 100))
         windows = count(self.windows())
         cut = cover(windows >= max(10, enough))
-        kept = []
-        for i, ((inside, text), part) in enumerate(zip(self.blocks, self.parts, strict=True)):
-            if self.judged(i) and int(count(self.whole(i))[0]) >= (max(10, -(-pages // 2)) if inside else enough):
+        kept, at = [], 0
+        for inside, text in self.blocks:
+            own = cut[:0]
+            if not inside:
+                n = text.count(" ") + 1
+                own, at = cut[at : at + n], at + n
+            if self.judged(inside, text) and one(self.whole(text)) >= (max(10, -(-pages // 2)) if inside else enough):
                 continue
-            own = cut[self.ends[i] - len(part) : self.ends[i]]
-            if not inside and own.any():
-                text = " ".join(w for w, c in zip(part, own, strict=True) if not c)
+            if own.any():
+                text = " ".join(w for w, c in zip(text.split(" "), own, strict=True) if not c)
             if text:
                 kept.append(text)
         return "\n\n".join(kept or [text for _, text in self.blocks]), int(cover((windows >= 2) | (copies > 1)).sum())
@@ -302,10 +336,10 @@ def main_texts(pages: list[str], min_tokens: int) -> list[tuple[str, int]]:
     """Text and number of repeated tokens of each page of one host, in memory; the suffix array counts the tokens."""
     parsed = [Page(blocks_of(p), "", min_tokens) for p in pages]
     copies = Counter(p.key for p in parsed)
-    held = Counter(int(h) for p in {p.key: p for p in parsed}.values() for h in p.counted(lambda a: np.ones(len(a), dtype=bool)))
+    held = Counter(int(h) for p in {p.key: p for p in parsed}.values() for h in np.concatenate([p.units(), np.unique(p.windows())]))
     keys = np.array(sorted(held), dtype=np.uint64)
     counts = np.array([held[int(k)] for k in keys], dtype=np.int64)
-    covered = repeated_tokens([[w for part in p.parts for w in part] for p in parsed], min_tokens)
+    covered = repeated_tokens([p.stream for p in parsed], min_tokens)
     return [(p.text(keys, counts, copies[p.key])[0], int(c.sum())) for p, c in zip(parsed, covered, strict=True)]
 
 
@@ -319,6 +353,10 @@ def unpacked(data: bytes) -> list[tuple[bool, str]]:
     return [(t.startswith("\x1f"), t.removeprefix("\x1f")) for t in text.split("\x1e")] if text else []
 
 
+def signed(h: np.ndarray) -> pa.Array:
+    return pa.array(h.astype(np.uint64).view(np.int64))
+
+
 def long_of(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
@@ -326,46 +364,45 @@ def long_of(h: int) -> int:
 def extract(pages: DataFrame, min_tokens: int = 12) -> DataFrame:
     """page_id, url, text, n_chars and n_repeated for each page.
 
-    Anchors that two distinct texts of a host share are marked in a map of fixed size; windows and
-    blocks with marked anchors are counted by distinct text, and the counts joined to the pages by text.
+    A first pass leaves a row for each distinct text of a host: the hashes of its host and blocks, and
+    what stands outside its articles. Anchors that two of them share choose the windows that are counted;
+    the counts of distinct texts are joined to the texts, and in a second pass to the pages.
     """
-    spark = common.session_of(pages)
+    common.session_of(pages)
     host = F.nullif(F.regexp_extract(F.lower(F.col("url").cast("string")), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    hosted = rows.filter("host IS NOT NULL AND html <> ''").select("host", "html")
 
-    def emitted(own: Callable[[Page], np.ndarray]) -> Callable:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [Page(blocks_of(html), name, min_tokens) for name, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            units = [p.units() for p in found]
+            flat = signed(np.concatenate([np.zeros(0, dtype=np.uint64), *units]))
+            outside = [packed([x for x in p.blocks if not x[0]]) if any(not inside for inside, _ in p.blocks) else None for p in found]
+            yield pa.RecordBatch.from_arrays([pa.array([long_of(p.key) for p in found], pa.int64()), b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, units)]), pa.int32()), flat), pa.array(outside, pa.binary())], names=["text_key", "host", "units", "outside"])
+
+    first = rows.filter("host IS NOT NULL AND html <> ''").select("host", "html").mapInArrow(read, "text_key long, host string, units array<long>, outside binary")
+    texts = common.saved(first.groupBy("text_key").agg(F.first("host").alias("host"), F.first("units").alias("units"), F.first("outside").alias("outside"), F.count("*").alias("copies")), "html-texts")
+
+    def emitted(own: Callable[[Page, list | None], np.ndarray]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found, keys = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-                for name, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    p = Page(blocks_of(page), name, min_tokens)
-                    found.append(own(p))
-                    keys.append(np.full(len(found[-1]), long_of(p.key)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys))], names=["h", "text_key"])
+                for key, name, outside, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    found.append(own(Page(unpacked(outside), name, min_tokens), wanted))
+                    keys.append(np.full(len(found[-1]), key))
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(keys))], names=["h", "text_key"])
 
         return run
 
-    first = hosted.mapInArrow(emitted(lambda p: np.unique(p.anchors())), "h long, text_key long")
-    marks = first.groupBy("h").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a <> b").select((F.pmod("h", F.lit(BITS)) + 1).alias("n"))
-    marks = marks.groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits")).collect()
-    sent = spark.sparkContext.broadcast({r.bucket - 1: bytes(r.bits) for r in marks})
-
-    dense: list[np.ndarray] = []
-
-    def shared(a: np.ndarray) -> np.ndarray:
-        if not dense:
-            dense.append(np.zeros(BITS >> 3, dtype=np.uint8))
-            for bucket, bits in sent.value.items():
-                dense[0][bucket * (BUCKET >> 3) : (bucket + 1) * (BUCKET >> 3)] = np.frombuffer(bits, dtype=np.uint8)
-        at = (a & np.uint64(BITS - 1)).astype(np.int64)
-        return (dense[0][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-    pairs = hosted.mapInArrow(emitted(lambda p: p.counted(shared)), "h long, text_key long").groupBy("h", "text_key").agg(F.count("*").alias("copies"))
-    pairs = common.saved(pairs, "html-pairs")
-    held = pairs.groupBy("h").agg(F.count("*").alias("n"))
-    facts = pairs.join(held, "h").filter("n > 1 OR copies > 1").groupBy("text_key").agg(F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("h", "n"))).alias("held"))
-    facts = facts.select("text_key", "copies", F.col("held.h").alias("h"), F.col("held.n").alias("n"))
+    open_ = texts.filter("outside IS NOT NULL").select("text_key", "host", "outside")
+    marks = open_.withColumn("wanted", F.lit(None).cast("array<long>")).mapInArrow(emitted(lambda p, _: np.unique(p.anchors())), "h long, text_key long")
+    shared = marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    wanted = marks.join(shared, "h").groupBy("text_key").agg(F.collect_list("h").alias("wanted"))
+    windows = open_.join(wanted, "text_key").select("text_key", "host", "outside", "wanted").mapInArrow(emitted(lambda p, w: p.counted(np.sort(np.array(w, dtype=np.int64).view(np.uint64)))), "h long, text_key long")
+    pairs = common.saved(windows.unionByName(texts.select(F.explode("units").alias("h"), "text_key")), "html-pairs")
+    held = pairs.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    facts = pairs.join(held, "h").groupBy("text_key").agg(F.collect_list(F.struct("h", "n")).alias("held"))
+    facts = texts.select("text_key", "copies").join(facts, "text_key", "left").filter("copies > 1 OR held IS NOT NULL").select("text_key", "copies", F.col("held.h").alias("h"), F.col("held.n").alias("n"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -376,17 +413,25 @@ def extract(pages: DataFrame, min_tokens: int = 12) -> DataFrame:
                 keys.append(None if name is None else long_of(key_of(blocks, name)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["page_id", "url", "host", "text_key", "data"])
 
+    def result(b: pa.RecordBatch, texts: list[tuple[str, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_repeated"])
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for name, data, copies, h, n in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
                 keys = np.array(h or [], dtype=np.int64).view(np.uint64)
                 order = np.argsort(keys)
-                texts.append(Page(unpacked(data), name or "", min_tokens).text(keys[order], np.array(n or [], dtype=np.int64)[order], copies or 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_repeated"])
+                texts.append(Page(unpacked(data), name, min_tokens).text(keys[order], np.array(n or [], dtype=np.int64)[order], copies or 1))
+            yield result(b, texts)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield result(b, [("\n\n".join(t for _, t in blocks_of(page or "")), 0) for page in b.column(3).to_pylist()])
 
-    parsed = rows.mapInArrow(parse, "page_id long, url string, host string, text_key long, data binary")
-    return parsed.join(facts, "text_key", "left").select("page_id", "url", "host", "data", "copies", "h", "n").mapInArrow(finish, SCHEMA)
+    parsed = rows.filter("host IS NOT NULL").mapInArrow(parse, "page_id long, url string, host string, text_key long, data binary")
+    hosted = parsed.join(facts, "text_key", "left").select("page_id", "url", "host", "data", "copies", "h", "n").mapInArrow(finish, SCHEMA)
+    return hosted.unionByName(rows.filter("host IS NULL").mapInArrow(alone, SCHEMA))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
