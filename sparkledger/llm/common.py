@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts may be long, so batches are kept far below Spark's default of 10,000 rows.
@@ -19,16 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def session_of(df: DataFrame) -> SparkSession:
-    """The frame's session, with Arrow batches small enough for long texts."""
+    """The frame's session, with Arrow batches small enough for long texts; a smaller setting of the caller's stays."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the setting is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the setting is unset and the master is local, as in tests."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sparkledger-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -58,20 +60,31 @@ def text_bytes(column: pa.Array) -> tuple[memoryview, list[int]]:
     return whole[int(offsets[0]) : int(offsets[-1])], offsets - offsets[0]
 
 
-def documents(df: DataFrame, *columns: str) -> DataFrame:
-    """doc_id and text (null: empty) and what else is named; other columns, whatever their names, are left behind."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c) for c in columns])
+def documents(df: DataFrame, *columns: Column) -> DataFrame:
+    """doc_id and text (null: empty) and what else is given; other columns, whatever their names, are left behind."""
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)
 
 
-def rename_local(path: str) -> str:
-    """A path without the file scheme."""
-    return path.removeprefix("file://") if path.startswith("file://") else path
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def clear(path: str) -> None:
-    """Removes a local scratch path if it is one; other stores keep it until the session's folder goes."""
-    import shutil
+#: The column that carries a table's other columns through an operator, so that no name of theirs meets one of the operator's.
+CARRIED = "carried_columns"
 
-    local = rename_local(path)
-    if os.path.isdir(local):
-        shutil.rmtree(local, ignore_errors=True)
+
+def carried(df: DataFrame, *without: str) -> Column:
+    """All columns but some, as one struct of numbered fields."""
+    names = [c for c in df.columns if c not in without]
+    return F.struct(F.col("text").isNull().alias("no_text"), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)]).alias(CARRIED)
+
+
+def text_as_it_was() -> Column:
+    return F.when(~F.col(CARRIED)["no_text"], F.col("text"))
+
+
+def uncarried(df: DataFrame, like: DataFrame, *without: str, **own: Column) -> DataFrame:
+    """The columns of like, in its order: those that were carried, and own ones by name."""
+    names = [c for c in like.columns if c not in without]
+    at = {c: F.col(CARRIED)[f"c{i}"] for i, c in enumerate(names)} | own
+    return df.select(*[at[c].alias(c) for c in like.columns])

@@ -457,4 +457,5 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each class, that with the smallest doc_id; rows without an id stay."""
     classes = near_duplicates(docs)
     gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti").select(*docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), common.carried(docs))
+    return common.uncarried(rows.join(gone, rows["own_id"] == gone["gone_id"], "left_anti"), docs)

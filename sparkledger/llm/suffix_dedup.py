@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import common
 
@@ -35,6 +36,7 @@ FILL = 0xFF  # never a byte of UTF-8
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 ANCHORS = "anchor long, context long, doc_id long, pos int"
 CHUNK = 1 << 21
+CLEANED = [StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField(n, StringType()) for n in ("kept_sha256", "text")]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -243,10 +245,11 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     return common.saved(whole.unionByName(merged), "runs")
 
 
-def cleaned(docs: DataFrame, *extra: str, length: int = LENGTH) -> DataFrame:
-    """doc_id, the digest columns, the kept bytes as text (characters that a removal cuts go) and extra columns as they are."""
+def cleaned(docs: DataFrame, carry: Column | None = None, length: int = LENGTH) -> DataFrame:
+    """doc_id, the digest columns, the kept bytes as text (characters that a removal cuts go) and a struct that is carried along."""
     runs = spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).withColumnRenamed("doc_id", "run_id")
-    rows = common.documents(docs, *extra)
+    rows = common.documents(docs, *([] if carry is None else [carry]))
+    extra = [] if carry is None else [common.CARRIED]
     rows = rows.join(runs, F.col("doc_id") == F.col("run_id"), "left").drop("run_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +276,7 @@ def cleaned(docs: DataFrame, *extra: str, length: int = LENGTH) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)), *(b.column(c) for c in extra)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *extra])
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string", *(f"`{c}` {kinds[c]}" for c in extra)]))
+    return rows.mapInArrow(run, StructType([*CLEANED, *(rows.schema[c] for c in extra)]))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +284,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated bytes; n_chars is that of the new text, and documents of which nothing is left stay, empty."""
-    extra = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = cleaned(docs, *extra)
-    return out.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Documents without their repeated bytes, with all other columns as they were; n_chars is that of the new text, and documents of which nothing is left stay, empty; null texts stay null."""
+    out = cleaned(docs, common.carried(docs, "text", "n_chars"))
+    own = {"text": common.text_as_it_was()}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length(common.text_as_it_was()).cast(docs.schema["n_chars"].dataType)
+    return common.uncarried(out, docs, "text", "n_chars", **own)

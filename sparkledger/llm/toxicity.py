@@ -6,8 +6,8 @@ are densities of lexicon hits by strength, second-person words near hits, capita
 obfuscation rates. Features of the texts that the trees learn from use a lexicon that was learned
 without their fold; predictions of trees that didn't see a fold calibrate the score.
 
-Labels are learned from a sample bounded by ``max_rows`` and ``max_chars``, both parameters; every text
-is scored whole. Neither labels nor lang, source or doc_id are inputs of a score.
+Labels are learned from a sample bounded by ``max_rows``, a parameter; every text, learned from or
+scored, is read whole. Neither labels nor lang, source or doc_id are inputs of a score.
 
 Defined results: null or empty texts get the score of a text without any hits. Null ids are never held
 out and never learned from. Rows with null labels aren't learned from. With no toxic or no clean label
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import common
 
@@ -40,6 +41,7 @@ LEET = str.maketrans("013457@$!", "oieastasi", "*_.-'")
 SECOND = frozenset("you your yours yourself youre u ur thou du dich dir dein deine deiner deinem deinen ihr euch euer eure tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros vuestro".split())
 NAMES = ("strong", "weak", "strong_kinds", "weak_kinds", "weight", "top", "near_you", "you", "capitals", "shouted", "marks", "odd", "obfuscated", "stretched", "length", "longest_run")
 FOLDS, THRESHOLD, SEED = 4, 0.7, 11
+T_SCORE = [StructField(n, t()) for n, t in (("doc_id", LongType), ("held_out", BooleanType), ("score", DoubleType), ("predicted", IntegerType), ("text", StringType))]
 
 
 # ---------------------------------------------------------------- lexicon
@@ -305,20 +307,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 32_768) -> Model:
-    """A model from at most max_rows labelled rows that aren't held out, chosen by a hash of their id, with texts of at most max_chars."""
+def fit_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Model:
+    """A model from at most max_rows labelled ids that aren't held out, chosen by a hash of the id; their whole texts count.
+
+    Rows that repeat an id, which have one label, count as the smallest of their texts.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("doc_id")))
     chosen = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = common.documents(docs).join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= max_chars)
-    found = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows.limit(2 * max_rows).collect()})
+    rows = common.documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.toLocalIterator())
     return fit([r[1] for r in found], [r[2] for r in found])
 
 
-def score(docs: DataFrame, model: Model, *extra: str) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row, and extra columns as they are."""
+def score(docs: DataFrame, model: Model, carry: Column | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted and text for each row, and a struct that is carried along."""
     common.session_of(docs)
-    rows = common.documents(docs, *extra).withColumn("held_out", held_out(F.col("doc_id")))
+    rows = common.documents(docs, *([] if carry is None else [carry])).withColumn("held_out", held_out(F.col("doc_id")))
     packed = docs.sparkSession.sparkContext.broadcast(model)
+    extra = [] if carry is None else [common.CARRIED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(packed.value.lexicon)
@@ -327,8 +333,8 @@ def score(docs: DataFrame, model: Model, *extra: str) -> DataFrame:
             s = packed.value.scores(x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), *(b.column(c) for c in ("text", *extra))], names=["doc_id", "held_out", "score", "predicted", "text", *extra])
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(["doc_id long, held_out boolean, score double, predicted int, text string", *(f"`{c}` {kinds[c]}" for c in extra)]))
+    schema = StructType([*T_SCORE, *(rows.schema[c] for c in extra)])
+    return rows.mapInArrow(run, schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +343,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic, with their columns."""
+    """Documents that aren't predicted toxic, with all their columns as they were, whatever their names."""
     model = fit_documents(docs, common.table(spark, sf_dir, "labels"))
-    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return score(docs, model, *columns).filter("predicted = 0").select(*docs.columns)
+    kept = score(docs, model, common.carried(docs, "doc_id", "text")).filter("predicted = 0")
+    return common.uncarried(kept, docs, "doc_id", "text", doc_id=F.col("doc_id").cast(docs.schema["doc_id"].dataType), text=common.text_as_it_was())
