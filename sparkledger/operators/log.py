@@ -38,9 +38,13 @@ def replay(log: DataFrame) -> DataFrame:
 
 
 def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
-    """key and value of each asked key, null where it isn't live. Only asked keys reach the collapse."""
-    asked = keys.select("key").distinct()
-    return asked.join(replay(log.join(asked, "key", "left_semi")), "key", "left")
+    """key and value of each asked key, null where it isn't live.
+
+    Asked keys and the log meet in one join by key, and the collapse keeps its partitioning; keys without
+    mutations come through it with a null value.
+    """
+    own = log.filter(F.col("op").isin("PUT", "DELETE")).select("key", F.struct("seq", F.when(F.col("op") == "PUT", F.col("value")).alias("value")).alias("_last"))
+    return keys.select("key").distinct().join(own, "key", "left").groupBy("key").agg(F.max("_last")["value"].alias("value"))
 
 
 def memtable_sizes(log: DataFrame) -> DataFrame:
@@ -59,7 +63,49 @@ def running(rows: DataFrame, value: str, order: str, width: int = 1 << 16) -> Da
     return ranged.withColumn("_own", own).join(before, "_range").withColumn("total", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
 
 
+def merge_operands(log: DataFrame, **aggregates: Column) -> DataFrame:
+    """Custom merge operator: any Spark aggregates, grouped pandas functions too, over the puts of each key since its last delete.
+
+    Built-in aggregates combine before the exchange, so a hot key's operands are never gathered.
+    """
+    deleted = log.filter("op = 'DELETE'").groupBy("key").agg(F.max("seq").alias("_deleted"))
+    puts = log.filter("op = 'PUT'").join(deleted, "key", "left").filter("_deleted IS NULL OR seq > _deleted")
+    return puts.groupBy("key").agg(*[c.alias(n) for n, c in aggregates.items()])
+
+
 def counters(log: DataFrame) -> DataFrame:
-    """Merge operator: the number and bytes of put operands of each key since its last delete."""
-    epoch = F.sum(F.when(F.col("op") == "DELETE", 1).otherwise(0)).over(Window.partitionBy("key").orderBy(F.desc("seq")))
-    return log.withColumn("_e", epoch).filter("_e = 0").groupBy("key").agg(F.count("*").alias("n_operands"), F.sum(F.octet_length("value")).cast("long").alias("operand_bytes"))
+    """The number and bytes of put operands of each key since its last delete."""
+    return merge_operands(log, n_operands=F.count("*"), operand_bytes=F.sum(F.octet_length("value")).cast("long"))
+
+
+def positions(state: DataFrame, comparator: Column, width: int = 1 << 16) -> DataFrame:
+    """key and its place, from 1, in the order of a numeric comparator; keys must differ in it. Ranges are counted first, so no task orders all keys."""
+    rows = state.select("key", comparator.cast("long").alias("_at"), F.lit(1).alias("_one"))
+    return running(rows, "_one", "_at", width).select("key", F.col("total").cast("long").alias("position"))
+
+
+def scan_by(state: DataFrame, comparator: Column) -> DataFrame:
+    """A scan in the order of any comparator: numbers, reversed bytes, a collation."""
+    return state.orderBy(comparator)
+
+
+def tuples(state: DataFrame, schema: str) -> DataFrame:
+    """A table with tuples for values: key and the fields of its value, written as JSON. Values that don't parse give null fields."""
+    return state.select("key", F.from_json(F.col("value").cast("string"), schema).alias("_t")).select("key", "_t.*")
+
+
+def bucket_sums(state: DataFrame, buckets: int) -> DataFrame:
+    """Anti-entropy: number and checksum of each bucket of keys."""
+    return state.groupBy(F.pmod(F.xxhash64(F.col("key").cast("binary")), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key", "value")).alias("sum"))
+
+
+def differences(one: DataFrame, two: DataFrame, buckets: int = 1024) -> DataFrame:
+    """key and the values of both sides where two states differ; only buckets whose checksums differ are compared."""
+    a, b = bucket_sums(one, buckets), bucket_sums(two, buckets)
+    differ = a.join(b, "bucket", "full").filter(~a["n"].eqNullSafe(b["n"]) | ~a["sum"].eqNullSafe(b["sum"])).select("bucket")
+
+    def side(state: DataFrame, name: str) -> DataFrame:
+        held = state.select(F.pmod(F.xxhash64(F.col("key").cast("binary")), F.lit(buckets)).alias("bucket"), "key", F.col("value").alias(name))
+        return held.join(F.broadcast(differ), "bucket").drop("bucket")  # a row for each bucket at most
+
+    return side(one, "one").join(side(two, "two"), "key", "full").filter(~F.col("one").eqNullSafe(F.col("two")))
