@@ -14,6 +14,8 @@ from sparkledger.functions.shared import scratch
 
 #: Runs of a level before it compacts, bytes of a block, of an entry's lengths and of a block's own length.
 FAN, BLOCK, ENTRY, HEAD = 3, 4000, 16, 8
+#: Digits that any long has in base FAN.
+DIGITS = 41
 
 
 def flush(log: DataFrame, every: int) -> DataFrame:
@@ -25,11 +27,8 @@ def flush(log: DataFrame, every: int) -> DataFrame:
 
 def level_of(run: Column, n_runs: Column) -> Column:
     """The level in which a flush lies after n_runs flushes: the highest digit, in base FAN, in which its number and n_runs differ."""
-    differ, p = F.lit(-1), 1
-    while p < 1 << 63:
-        differ = differ + ((run - run % p) != (n_runs - n_runs % p)).cast("int")
-        p *= FAN
-    return differ
+    one, two = (F.lpad(F.conv(x.cast("string"), 10, FAN), DIGITS, "0") for x in (run, n_runs))
+    return DIGITS - 1 - F.length(F.regexp_extract(F.concat(one, F.lit(":"), two), r"^(\d*)\d*:\1", 1))
 
 
 def assigned(runs: DataFrame, n_runs: Column | None = None) -> DataFrame:
