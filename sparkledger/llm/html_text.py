@@ -14,10 +14,12 @@ texts on the host, ``enough`` is a quarter of D, at least 2 and at most 100:
 * a page of which nothing would remain keeps its text.
 
 ``n_repeated`` counts the tokens outside articles in runs of ``min_tokens`` or more that another page of
-the host holds, a copy too. No host is gathered: each distinct text of a host is one row, its windows of
-``min_tokens`` tokens outside articles are known by 64-bit hashes. Of each window the smallest hash of
-four tokens in it is its anchor; only windows whose anchor two texts share are counted and joined back.
-Results are exact but for collisions of hashes.
+the host holds, a copy too. What stands outside articles goes to suffix arrays: the token streams of
+a host's distinct texts, one after another, in shards of at most about ``shard_tokens`` tokens. An
+interval of suffixes with a common prefix of ``min_tokens`` tokens is a repeated string, and the texts in it
+are counted. Where a host has several shards, each tells the others its strings by 64-bit hash with its
+count of texts, added up before they are sent back to the shards that hold them; hosts of one shard
+send nothing. Results are exact but for collisions of hashes.
 
 Elements are left out by whole class names, ids and roles, never by parts of them: of names joined by
 ``-`` or ``_`` the last word tells (``site-footer``), or the first before a word for a container
@@ -38,7 +40,7 @@ import html as entities
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -154,46 +156,50 @@ def blocks_of(page: str, by_class: bool = True) -> list[tuple[bool, str]]:
     return blocks_of(page, False) if by_class and passed and not found else found
 
 
-def repeated_tokens(streams: list[list[str]], min_tokens: int) -> list[np.ndarray]:
-    """For each stream which of its tokens lie in a run of min_tokens or more that also stands in another stream.
+def suffix_intervals(streams: list[list[str]], min_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token of the concatenated streams the interval of its suffix, its stream, and whether min_tokens stand from it on.
 
-    The suffix array of the concatenated streams, ordered by prefix doubling to the depth that decides:
-    suffixes with equal ranks are an interval of common prefix min_tokens or longer.
+    The suffix array, ordered by prefix doubling to the depth that decides: suffixes with equal ranks are
+    an interval of common prefix min_tokens or longer.
     """
     lengths = np.array([len(s) for s in streams], dtype=np.int64)
     total = int(lengths.sum())
-    if not total:
-        return [np.zeros(0, dtype=bool) for _ in streams]
     ids: dict[str, int] = {}
-    page = np.repeat(np.arange(len(streams)), lengths)
     rank = np.fromiter((ids.setdefault(w, len(ids)) for s in streams for w in s), dtype=np.int64, count=total)
     ends = np.repeat(np.cumsum(lengths), lengths)
     at = np.arange(total)
     depth = 1
-    while depth < min_tokens:
+    while depth < min_tokens and total:
         step = min(depth, min_tokens - depth)
         after = at + step
-        inside = after < ends
-        nxt = np.where(inside, rank[np.minimum(after, total - 1)] + 1, 0)  # beyond the page stands a symbol below all others
+        nxt = np.where(after < ends, rank[np.minimum(after, total - 1)] + 1, 0)  # beyond the stream stands a symbol below all others
         _, rank = np.unique(rank * (total + len(ids) + 2) + nxt, return_inverse=True)
         depth += step
-    order = np.argsort(rank, kind="stable")  # the suffix array at this depth; pages ascend within an interval
-    first = np.r_[0, np.flatnonzero(np.diff(rank[order])) + 1]
-    last = np.r_[first[1:], total] - 1
-    mixed = page[order[first]] != page[order[last]]
-    start = np.zeros(total, dtype=bool)
-    start[order] = np.repeat(mixed, last - first + 1)
-    start &= at + min_tokens <= ends
-    steps = np.zeros(total + 1, dtype=np.int64)
-    hits = np.flatnonzero(start)
+    return rank, np.repeat(np.arange(len(streams)), lengths), at + min_tokens <= ends
+
+
+def counted_streams(streams: list[list[str]], min_tokens: int) -> np.ndarray:
+    """For each token of the concatenated streams how many streams hold the string of min_tokens from it on; 0 near a stream's end."""
+    rank, stream, whole = suffix_intervals(streams, min_tokens)
+    out = np.zeros(len(rank), dtype=np.int64)
+    if not whole.any():
+        return out
+    _, interval = np.unique(rank[whole], return_inverse=True)
+    pairs = np.unique(interval * len(streams) + stream[whole])
+    out[whole] = np.bincount(pairs // len(streams))[interval]
+    return out
+
+
+def repeated_tokens(streams: list[list[str]], min_tokens: int) -> list[np.ndarray]:
+    """For each stream which of its tokens lie in a run of min_tokens or more that also stands in another stream."""
+    lengths = [len(s) for s in streams]
+    steps = np.zeros(sum(lengths) + 1, dtype=np.int64)
+    hits = np.flatnonzero(counted_streams(streams, min_tokens) > 1)
     np.add.at(steps, hits, 1)
     np.add.at(steps, hits + min_tokens, -1)
-    covered = np.cumsum(steps[:total]) > 0
-    return np.split(covered, np.cumsum(lengths)[:-1])
+    return np.split(np.cumsum(steps[:-1]) > 0, np.cumsum(lengths)[:-1]) if streams else []
 
 
-#: Tokens of an anchor.
-ANCHOR = 4
 WINDOW, FACTOR = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _known: dict[str, int] = {}
 
@@ -225,18 +231,6 @@ def grams(h: np.ndarray, n: int, seed: np.uint64) -> np.ndarray:
     return mixed(out ^ seed)
 
 
-def anchors(h: np.ndarray, min_tokens: int, seed: np.uint64) -> np.ndarray:
-    """The anchor of each window of min_tokens tokens; equal windows have the same."""
-    if len(h) < min_tokens:
-        return np.zeros(0, dtype=np.uint64)
-    k = min(ANCHOR, min_tokens)
-    least, width, wanted = grams(h, k, seed), 1, min_tokens - k + 1
-    while width < wanted:
-        step = min(width, wanted - width)
-        least, width = np.minimum(least[:-step], least[step:]), width + step
-    return least
-
-
 def key_of(blocks: list[tuple[bool, str]], host: str) -> int:
     """Equal for equal texts of a host."""
     return hash_of(host + "\n\n" + "\n\n".join(text for _, text in blocks))
@@ -268,9 +262,6 @@ class Page:
     def seed(self) -> np.uint64:
         return np.uint64(hash_of(self.name))
 
-    def anchors(self) -> np.ndarray:
-        return anchors(self.h, self.min_tokens, self.seed())
-
     def windows(self) -> np.ndarray:
         return grams(self.h, self.min_tokens, self.seed() ^ WINDOW)
 
@@ -286,14 +277,12 @@ class Page:
         """Hashes of the host and of the blocks that may go as a whole."""
         return np.array(sorted({self.host(), *(self.whole(t) for inside, t in self.blocks if self.judged(inside, t))}) if self.blocks else [], dtype=np.uint64)
 
-    def counted(self, shared: np.ndarray) -> np.ndarray:
-        """Hashes of the windows whose anchors are shared, a sorted array."""
-        own = self.anchors()
-        at = np.minimum(np.searchsorted(shared, own), max(0, len(shared) - 1))
-        return np.unique(self.windows()[shared[at] == own] if len(shared) else self.windows()[:0])
+    def text(self, keys: np.ndarray, counts: np.ndarray, copies: int, at: np.ndarray, held: np.ndarray) -> tuple[str, int]:
+        """Text and number of repeated tokens.
 
-    def text(self, keys: np.ndarray, counts: np.ndarray, copies: int) -> tuple[str, int]:
-        """Text and number of repeated tokens; keys are sorted hashes with how many distinct texts of the host hold each."""
+        keys are sorted hashes of units with how many distinct texts of the host hold each; at are places
+        outside articles from which min_tokens tokens repeat, with how many texts hold them.
+        """
 
         def count(h: np.ndarray) -> np.ndarray:
             if not len(keys):
@@ -311,11 +300,12 @@ class Page:
             steps[at + self.min_tokens] -= 1
             return np.cumsum(steps[:-1]) > 0
 
-        if copies < 2 and (not len(keys) or len(keys) == 1 and keys[0] == self.host()):
+        if copies < 2 and not len(at) and (not len(keys) or len(keys) == 1 and keys[0] == self.host()):
             return "\n\n".join(text for _, text in self.blocks), 0  # the host alone is held twice
         pages = one(self.host())
         enough = max(2, min(-(-pages // 4), 100))
-        windows = count(self.windows())
+        windows = np.ones(max(0, len(self.stream) - self.min_tokens + 1), dtype=np.int64)
+        windows[at] = held
         cut = cover(windows >= max(10, enough))
         kept, at = [], 0
         for inside, text in self.blocks:
@@ -333,14 +323,20 @@ class Page:
 
 
 def main_texts(pages: list[str], min_tokens: int) -> list[tuple[str, int]]:
-    """Text and number of repeated tokens of each page of one host, in memory; the suffix array counts the tokens."""
+    """Text and number of repeated tokens of each page of one host, in memory: windows are counted one by one, the tokens by a suffix array of all pages."""
     parsed = [Page(blocks_of(p), "", min_tokens) for p in pages]
     copies = Counter(p.key for p in parsed)
-    held = Counter(int(h) for p in {p.key: p for p in parsed}.values() for h in np.concatenate([p.units(), np.unique(p.windows())]))
+    distinct = {p.key: p for p in parsed}.values()
+    held = Counter(int(h) for p in distinct for h in p.units())
+    seen = Counter(w for p in distinct for w in {tuple(p.stream[k : k + min_tokens]) for k in range(len(p.stream) - min_tokens + 1)})
     keys = np.array(sorted(held), dtype=np.uint64)
     counts = np.array([held[int(k)] for k in keys], dtype=np.int64)
     covered = repeated_tokens([p.stream for p in parsed], min_tokens)
-    return [(p.text(keys, counts, copies[p.key])[0], int(c.sum())) for p, c in zip(parsed, covered, strict=True)]
+    out = []
+    for p, c in zip(parsed, covered, strict=True):
+        n = np.array([seen[tuple(p.stream[k : k + min_tokens])] for k in range(len(p.stream) - min_tokens + 1)], dtype=np.int64)
+        out.append((p.text(keys, counts, copies[p.key], np.flatnonzero(n > 1), n[n > 1])[0], int(c.sum())))
+    return out
 
 
 def packed(blocks: list[tuple[bool, str]]) -> bytes:
@@ -361,12 +357,88 @@ def long_of(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def extract(pages: DataFrame, min_tokens: int = 12) -> DataFrame:
+SHARD = ("host", "shard")
+
+
+def by_shard(rows: DataFrame, n: int) -> DataFrame:
+    return rows.repartition(n, *SHARD).sortWithinPartitions(*SHARD, "kind")
+
+
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[dict]]]:
+    """Host, shard and rows of each shard, from batches in this order."""
+    at, held = None, []
+    for b in batches:
+        for row in b.to_pylist():
+            here = row["host"], row["shard"]
+            if held and here != at:
+                yield *at, held
+                held = []
+            at = here
+            held.append(row)
+    if held:
+        yield *at, held
+
+
+def repeated_places(texts: DataFrame, min_tokens: int, shard_tokens: int) -> DataFrame:
+    """text_key, places and counts of the strings of min_tokens that several of a host's texts hold. texts: text_key, host, outside, n_tokens."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = texts.groupBy("host").agg(F.ceil(F.sum("n_tokens") / F.lit(shard_tokens)).cast("int").alias("shards"))
+    dealt = texts.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("text_key"), F.col("shards")).cast("int"))
+    no_hash, no_count = F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("n")
+    dealt = dealt.select(*SHARD, "shards", F.lit(1).alias("kind"), "text_key", "outside", no_hash, no_count)
+
+    def streams(host: str, rows: list[dict]) -> tuple[list[Page], np.ndarray, np.ndarray]:
+        """Pages of a shard, how many of them hold the string from each token on, and the hashes of these strings."""
+        found = [Page(unpacked(r["outside"]), host, min_tokens) for r in rows]
+        counts = counted_streams([p.stream for p in found], min_tokens)
+        hashed = np.zeros(len(counts), dtype=np.uint64)
+        begin = 0
+        for p in found:
+            w = p.windows()
+            hashed[begin : begin + len(w)] = w
+            begin += len(p.stream)
+        return found, counts, hashed
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for host, shard, rows in shards_of(batches):
+            _, counts, hashed = streams(host, rows)
+            h, first = np.unique(hashed[counts > 0], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(h), pa.string()), pa.array(np.full(len(h), shard, dtype=np.int32)), signed(h), pa.array(counts[counts > 0][first])], names=["host", "shard", "h", "n"])
+
+    told = by_shard(dealt.filter("shards > 1"), n).mapInArrow(tell, "host string, shard int, h long, n long")
+    told = common.saved(told, "html-told")
+    met = told.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("shards")).filter("shards > 1").select("h", "n")
+    back = told.select(*SHARD, "h").join(met, "h")
+    back = back.select(*SHARD, F.lit(2).alias("shards"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("text_key"), F.lit(None).cast("binary").alias("outside"), "h", "n")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for host, _, rows in shards_of(batches):
+            others = sorted((r["h"] % (1 << 64), r["n"]) for r in rows if not r["kind"])
+            own = [r for r in rows if r["kind"]]
+            found, counts, hashed = streams(host, own)
+            if others:
+                keys, total = np.array([o[0] for o in others], dtype=np.uint64), np.array([o[1] for o in others], dtype=np.int64)
+                at = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+                counts = np.where((keys[at] == hashed) & (counts > 0), total[at], counts)
+            begin, keys, places, held = 0, [], [], []
+            for r, p in zip(own, found, strict=True):
+                mine = counts[begin : begin + len(p.stream)]
+                begin += len(p.stream)
+                if (mine > 1).any():
+                    keys.append(r["text_key"])
+                    places.append(np.flatnonzero(mine > 1).astype(np.int32))
+                    held.append(mine[mine > 1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int64()))], names=["text_key", "places", "counts"])
+
+    return by_shard(dealt.unionByName(back), n).mapInArrow(place, "text_key long, places array<int>, counts array<long>")
+
+
+def extract(pages: DataFrame, min_tokens: int = 12, shard_tokens: int = 1 << 20) -> DataFrame:
     """page_id, url, text, n_chars and n_repeated for each page.
 
     A first pass leaves a row for each distinct text of a host: the hashes of its host and blocks, and
-    what stands outside its articles. Anchors that two of them share choose the windows that are counted;
-    the counts of distinct texts are joined to the texts, and in a second pass to the pages.
+    what stands outside its articles. What the host's texts share is counted and joined to the texts, and
+    in a second pass to the pages.
     """
     common.session_of(pages)
     host = F.nullif(F.regexp_extract(F.lower(F.col("url").cast("string")), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
@@ -378,31 +450,16 @@ def extract(pages: DataFrame, min_tokens: int = 12) -> DataFrame:
             units = [p.units() for p in found]
             flat = signed(np.concatenate([np.zeros(0, dtype=np.uint64), *units]))
             outside = [packed([x for x in p.blocks if not x[0]]) if any(not inside for inside, _ in p.blocks) else None for p in found]
-            yield pa.RecordBatch.from_arrays([pa.array([long_of(p.key) for p in found], pa.int64()), b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, units)]), pa.int32()), flat), pa.array(outside, pa.binary())], names=["text_key", "host", "units", "outside"])
-
-    first = rows.filter("host IS NOT NULL AND html <> ''").select("host", "html").mapInArrow(read, "text_key long, host string, units array<long>, outside binary")
-    texts = common.saved(first.groupBy("text_key").agg(F.first("host").alias("host"), F.first("units").alias("units"), F.first("outside").alias("outside"), F.count("*").alias("copies")), "html-texts")
-
-    def emitted(own: Callable[[Page, list | None], np.ndarray]) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found, keys = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-                for key, name, outside, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                    found.append(own(Page(unpacked(outside), name, min_tokens), wanted))
-                    keys.append(np.full(len(found[-1]), key))
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(keys))], names=["h", "text_key"])
-
-        return run
-
-    open_ = texts.filter("outside IS NOT NULL").select("text_key", "host", "outside")
-    marks = open_.withColumn("wanted", F.lit(None).cast("array<long>")).mapInArrow(emitted(lambda p, _: np.unique(p.anchors())), "h long, text_key long")
-    shared = marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    wanted = marks.join(shared, "h").groupBy("text_key").agg(F.collect_list("h").alias("wanted"))
-    windows = open_.join(wanted, "text_key").select("text_key", "host", "outside", "wanted").mapInArrow(emitted(lambda p, w: p.counted(np.sort(np.array(w, dtype=np.int64).view(np.uint64)))), "h long, text_key long")
-    pairs = common.saved(windows.unionByName(texts.select(F.explode("units").alias("h"), "text_key")), "html-pairs")
+            yield pa.RecordBatch.from_arrays([pa.array([long_of(p.key) for p in found], pa.int64()), b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, units)]), pa.int32()), flat), pa.array(outside, pa.binary()), pa.array([len(p.stream) for p in found], pa.int64())], names=["text_key", "host", "units", "outside", "n_tokens"])
+
+    first = rows.filter("host IS NOT NULL AND html <> ''").select("host", "html").mapInArrow(read, "text_key long, host string, units array<long>, outside binary, n_tokens long")
+    texts = common.saved(first.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("host", "units", "outside", "n_tokens")], F.count("*").alias("copies")), "html-texts")
+    places = repeated_places(texts.filter("outside IS NOT NULL").select("text_key", "host", "outside", "n_tokens"), min_tokens, shard_tokens)
+    pairs = texts.select(F.explode("units").alias("h"), "text_key")
     held = pairs.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     facts = pairs.join(held, "h").groupBy("text_key").agg(F.collect_list(F.struct("h", "n")).alias("held"))
-    facts = texts.select("text_key", "copies").join(facts, "text_key", "left").filter("copies > 1 OR held IS NOT NULL").select("text_key", "copies", F.col("held.h").alias("h"), F.col("held.n").alias("n"))
+    facts = texts.select("text_key", "copies").join(facts, "text_key", "left").join(places, "text_key", "left").filter("copies > 1 OR held IS NOT NULL OR places IS NOT NULL")
+    facts = facts.select("text_key", "copies", F.col("held.h").alias("h"), F.col("held.n").alias("n"), "places", "counts")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -419,10 +476,10 @@ def extract(pages: DataFrame, min_tokens: int = 12) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for name, data, copies, h, n in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
+            for name, data, copies, h, n, at, held in zip(*(b.column(i).to_pylist() for i in range(2, 9)), strict=True):
                 keys = np.array(h or [], dtype=np.int64).view(np.uint64)
                 order = np.argsort(keys)
-                texts.append(Page(unpacked(data), name, min_tokens).text(keys[order], np.array(n or [], dtype=np.int64)[order], copies or 1))
+                texts.append(Page(unpacked(data), name, min_tokens).text(keys[order], np.array(n or [], dtype=np.int64)[order], copies or 1, np.array(at or [], dtype=np.int64), np.array(held or [], dtype=np.int64)))
             yield result(b, texts)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +487,7 @@ def extract(pages: DataFrame, min_tokens: int = 12) -> DataFrame:
             yield result(b, [("\n\n".join(t for _, t in blocks_of(page or "")), 0) for page in b.column(3).to_pylist()])
 
     parsed = rows.filter("host IS NOT NULL").mapInArrow(parse, "page_id long, url string, host string, text_key long, data binary")
-    hosted = parsed.join(facts, "text_key", "left").select("page_id", "url", "host", "data", "copies", "h", "n").mapInArrow(finish, SCHEMA)
+    hosted = parsed.join(facts, "text_key", "left").select("page_id", "url", "host", "data", "copies", "h", "n", "places", "counts").mapInArrow(finish, SCHEMA)
     return hosted.unionByName(rows.filter("host IS NULL").mapInArrow(alone, SCHEMA))
 
 

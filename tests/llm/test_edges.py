@@ -139,6 +139,17 @@ def test_op2_suffix_array_finds_what_windows_find():
             assert got[i].tolist() == want
 
 
+def test_op2_shards_of_a_host_count_together(spark):
+    boiler, pair = words(1, 25), words(2, 14)
+    rows = [(i, "http://hot/", f"<p>{words(100 + i, 30)}</p><div>{words(900 + i, 3)} {boiler} {words(500 + i, 3)}</div>" + (f"<p>{i} {pair} {i}</p>" if i in (4, 55) else "")) for i in range(60)]
+    rows += [(100 + i, f"http://small{i % 3}/", f"<p>{words(300 + i, 20)} {boiler}</p>") for i in range(6)]
+    want = html_text.main_texts([r[2] for r in rows[:60]], 12)
+    for tokens_of_shard in (1 << 20, 500):
+        got = {r.page_id: (r.text, r.n_repeated) for r in html_text.extract(spark.createDataFrame(rows, PAGES), shard_tokens=tokens_of_shard).collect()}
+        assert [got[i] for i in range(60)] == want and not any(boiler in got[i][0] for i in range(60))
+        assert got[4][1] == 39 and pair in got[4][0] and all(boiler in got[100 + i][0] and got[100 + i][1] == 25 for i in range(6))
+
+
 def test_op7_against_another_reader(spark, edges, tmp_path):
     rows = queries.QUERIES["op7_warc"](spark, edges).collect()
     want = {}
