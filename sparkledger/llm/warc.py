@@ -36,6 +36,8 @@ DATA_MEMBER, INDEX_MEMBER, PACKAGE_MEMBER = "archive/data.warc.gz", "indexes/ind
 LOCAL, CENTRAL, END, END64, LOCATOR64, EXTRA64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50, 0x0001
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 
+#: Parts in which rows of one payload are dealt out.
+SALTS = 16
 MANIFEST = "path string, n_records long, n_bytes long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -153,15 +155,20 @@ def _clean(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "urn:page"
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """The same for a page and payload in every attempt, so that a revisit can name its response before that is written."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     """One gzip member with a WARC/1.1 record; a revisit keeps the HTTP head only, whose Content-Length is that of the full payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Target-URI: {_clean(url)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Target-URI: {_clean(url)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
     raw = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress(raw) + z.flush()
@@ -180,8 +187,7 @@ def parse_record(packed: bytes, verify: bool = True) -> dict:
     digest, revisit = f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"] == "revisit"
     if verify and not revisit and (len(payload) != n or base32_sha1(payload) != digest):
         raise ValueError(f"payload of {f['WARC-Record-ID']} doesn't match its digest")
-    to = re.fullmatch(r"<urn:page:(-?\d+)>", f.get("WARC-Refers-To", ""))
-    return {"page_id": int(f["WARC-Page-ID"]) if "WARC-Page-ID" in f else None, "url": f["WARC-Target-URI"], "record_type": f["WARC-Type"], "refers_to": int(to[1]) if to else None, "payload_bytes": n, "payload_digest": digest, "payload": None if revisit else payload}
+    return {"page_id": int(f["WARC-Page-ID"]) if "WARC-Page-ID" in f else None, "url": f["WARC-Target-URI"], "record_type": f["WARC-Type"], "refers_to": int(f["WARC-Refers-To-Page-ID"]) if "WARC-Refers-To-Page-ID" in f else None, "payload_bytes": n, "payload_digest": digest, "payload": None if revisit else payload}
 
 
 # ---------------------------------------------------------------- Spark
@@ -191,14 +197,15 @@ def write_archives(pages: DataFrame, root: str, target_bytes: int = 32 << 20, zi
     """Writes an archive or more for each partition below root, a URI that all executors reach; returns the manifest, itself kept in root.
 
     Of equal payloads the row with the largest page_id is the response and the others revisit it. The
-    largest ids come from an aggregate with map-side combining; the join that brings them to the rows
-    is one that adaptive execution splits where a payload is hot. A task that runs again writes under new names, and the manifest
+    largest ids come from an aggregate with map-side combining; the join that brings them to the rows deals
+    a payload's rows to SALTS tasks, and adaptive execution splits those of a hot one further. A task that runs again writes under new names, and the manifest
     lists those of the attempt that Spark committed.
     """
     spark = common.session_of(pages)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
-    top = rows.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("sha", "top")
-    rows = rows.join(top, "sha", "left").select("page_id", "url", "html", "sha", "top")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    top = rows.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("sha", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.join(top, ["sha", "salt"], "left").select("page_id", "url", "html", "sha", "top")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(root)
@@ -267,4 +274,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(manifest, root, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-OP7_SQL = None
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = " || ".join(f"substr('{_LETTERS}', CAST((CAST('0x' || substr(h, {5 * i + 1}, 5) AS BIGINT) >> {shift}) & 31 AS BIGINT) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top IS NULL OR page_id = top THEN NULL ELSE top END AS refers_to FROM p
+"""
