@@ -152,41 +152,38 @@ def base_columns(norm: Column) -> dict[str, Column]:
 
 
 def detections(norm: str = "norm") -> Column:
-    """All matches of the rules whose keyword the text holds, as structs of rule number, first word, end word and label.
-
-    The pieces between the matches of a pattern and the matches themselves give the places: the n-th
-    match begins after n pieces and n - 1 matches.
-    """
+    """All matches of the rules whose keyword the text holds: rule number, label, which match of the rule it is, and the words in it and in the piece of text before it."""
     rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern")) for i, r in enumerate(RULES)])
     tried = F.filter(rules, lambda r: F.contains(F.col(norm), F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
     found = F.transform(tried, lambda r: F.struct(r["rule"].alias("rule"), r["label"].alias("label"), F.regexp_extract_all(F.col(norm), r["pattern"], F.lit(0)).alias("hits"), F.split(F.col(norm), r["pattern"], -1).alias("pieces")))
     found = F.filter(found, lambda d: F.size(d["hits"]) > 0)
 
-    def places(d: Column) -> Column:
-        ordinal = F.sequence(F.lit(0), F.size(d["hits"]) - 1)
-
-        def one(i: Column) -> Column:
-            before = spaces(F.array_join(F.slice(d["pieces"], F.lit(1), i + 1), "")) + F.when(i > 0, spaces(F.array_join(F.slice(d["hits"], F.lit(1), i), ""))).otherwise(0)
-            start = before - 1
-            return F.struct(d["rule"].alias("rule"), d["label"].alias("label"), start.alias("first"), (start + spaces(d["hits"][i]) + 1).alias("end"))
+    def counted(d: Column) -> Column:
+        return F.transform(d["hits"], lambda hit, i: F.struct(d["rule"].alias("rule"), d["label"].alias("label"), i.alias("nth"), spaces(d["pieces"][i]).alias("before"), spaces(hit).alias("inside")))
 
-        return F.transform(ordinal, one)
-
-    return F.flatten(F.transform(found, places))
+    return F.flatten(F.transform(found, counted))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, base places and labels, all labels and the share of words that kept detections cover, from 0 to 1."""
+    """doc_id, n_words, base places and labels, all labels and the share of words that kept detections cover, from 0 to 1.
+
+    One pass over the texts leaves narrow rows; what follows reads these alone.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spoken(F.col("text")).alias("norm"))
-    rows = rows.withColumn("copy", F.xxhash64("norm"))
-    base = rows.select("doc_id", "copy", (spaces(F.col("norm")) - 1).alias("n_words"), *[c.alias(n) for n, c in base_columns(F.col("norm")).items()])
     gate = f" {any_of(KEYWORDS)} "
-    hits = rows.filter(F.col("norm").rlike(gate)).select("doc_id", "copy", F.explode(detections()).alias("d")).select("doc_id", "copy", "d.*")
+    found = F.when(F.col("norm").rlike(gate), detections()).alias("found")
+    seen = rows.select("doc_id", F.xxhash64("norm").alias("copy"), (spaces(F.col("norm")) - 1).alias("n_words"), *[c.alias(n) for n, c in base_columns(F.col("norm")).items()], found)
+    seen = common.saved(seen, "license-scan")
+    hits = seen.filter("size(found) > 0").select("doc_id", "copy", "found").repartition("doc_id", "copy").select("doc_id", "copy", F.inline("found"))
+    # a match begins after the words of all pieces up to it and of all matches before it
+    same = Window.partitionBy("doc_id", "copy", "rule").orderBy("nth")
+    hits = hits.dropDuplicates(["doc_id", "copy", "rule", "nth"]).withColumn("first", F.sum(F.col("before") + F.col("inside")).over(same) - F.col("inside") - 1)
+    hits = hits.withColumn("end", F.col("first") + F.col("inside") + 1)
     order = Window.partitionBy("doc_id", "copy").orderBy("first", F.desc("end"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     kept = hits.withColumn("reach", F.max("end").over(order)).filter("reach IS NULL OR reach < end")
     own = kept.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set("label")).alias("own"), F.count("*").alias("n_detections"), F.sum(F.col("end") - F.greatest("first", F.coalesce("reach", F.lit(0)))).alias("covered"))
     own = own.select(F.col("doc_id").alias("own_id"), F.col("copy").alias("own_copy"), "own", "n_detections", "covered")
-    out = base.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("copy") == F.col("own_copy")), "left")
+    out = seen.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("copy") == F.col("own_copy")), "left")
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base", ",").alias("base_labels"),
@@ -196,5 +193,33 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def _sql() -> str:
+    """The same in DuckDB. Its patterns have no lookaround, so every space is doubled and a match takes one of each pair."""
+
+    def doubled(pattern: str) -> str:
+        return pattern.replace(" ", "  ").replace("  ?", "(?:  )?").replace("'", "''")
+
+    rules = ", ".join(f"({i}, '{r.label}', '{r.keyword}', ' (?:{doubled(r.pattern)}) ')" for i, r in enumerate(RULES))
+    base = ", ".join(f"({-1 - i}, '{label}', '{phrase}', ' (?:{doubled(phrase)}) ')" for i, (phrase, label) in enumerate(BASE.items()))
+    return f"""
+WITH rules(rule, label, keyword, pattern) AS (VALUES {rules}, {base}),
+n AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(' ' || translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ', '{SEPARATORS}', ' ', 'g') AS norm FROM documents),
+t AS (SELECT r, rule, label, regexp_extract_all(replace(norm, ' ', '  '), pattern) AS hits, regexp_split_to_array(replace(norm, ' ', '  '), pattern) AS pieces FROM n JOIN rules ON contains(norm, ' ' || keyword || ' ')),
+u AS (SELECT r, rule, label, unnest(hits) AS hit, unnest(pieces[:len(hits)]) AS piece, unnest(range(len(hits))) AS nth FROM t WHERE len(hits) > 0),
+w AS (SELECT r, rule, label, nth, len(list_filter(string_split(hit, ' '), lambda x: x <> '')) AS inside, len(list_filter(string_split(piece, ' '), lambda x: x <> '')) AS before FROM u),
+p AS (SELECT r, rule, label, sum(before + inside) OVER (PARTITION BY r, rule ORDER BY nth) - inside AS first, inside FROM w),
+b AS (SELECT r, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, list_sort(list_distinct(list(label))) AS base FROM p WHERE rule < 0 GROUP BY r),
+k AS (SELECT r, label, first, first + inside AS "end", max(first + inside) OVER (PARTITION BY r ORDER BY first, inside DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p WHERE rule >= 0),
+o AS (SELECT r, list(label) AS own, count(*) AS n_detections, sum("end" - greatest(first, coalesce(reach, 0))) AS covered FROM k WHERE reach IS NULL OR reach < "end" GROUP BY r)
+SELECT doc_id, len(norm) - len(replace(norm, ' ', '')) - 1 AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  array_to_string(coalesce(base, []), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ',') AS labels,
+  CASE WHEN covered > 0 THEN least(1.0::DOUBLE, covered::DOUBLE / (len(norm) - len(replace(norm, ' ', '')) - 1)) ELSE 0.0::DOUBLE END AS score, CAST(coalesce(n_detections, 0) AS BIGINT) AS n_detections
+FROM n LEFT JOIN b ON b.r = n.r LEFT JOIN o ON o.r = n.r
+"""
+
+
+OP5_SQL = _sql()
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents"))

@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": packing.op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op6_nearest_neighbours": ann.OP6_SQL}
+ORACLES: dict[str, str] = {"op5_license_scan": licenses.OP5_SQL, "op6_nearest_neighbours": ann.OP6_SQL, "op7_warc": warc.OP7_SQL}
