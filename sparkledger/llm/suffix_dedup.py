@@ -34,7 +34,7 @@ from . import common
 LENGTH, GRAM = 100, 24
 FILL = 0xFF  # never a byte of UTF-8
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-ANCHORS = "anchor long, context long, doc_id long, pos int"
+ANCHORS = "anchor long, context long, doc_id long, pos int, lo int"
 CHUNK = 1 << 21
 CLEANED = [StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField(n, StringType()) for n in ("kept_sha256", "text")]
 
@@ -112,15 +112,51 @@ def _chunks(b: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         i = j
 
 
+def told_apart(ids: np.ndarray, doc: np.ndarray, place: np.ndarray, anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Whether a context equals one of a smaller place in the same chunk; equal places aren't smaller."""
+    own = ids[doc]
+    order = np.lexsort((place, own, context, anchor))
+    a, b = order[:-1], order[1:]
+    equal = (anchor[a] == anchor[b]) & (context[a] == context[b])
+    moved = (own[a] != own[b]) | (place[a] != place[b])
+    # rows of one place, as a repeated doc_id gives them, share the answer of the first
+    group = np.cumsum(np.r_[True, ~equal])
+    step = np.cumsum(np.r_[False, equal & moved])
+    begin = np.maximum.accumulate(np.where(np.r_[True, ~equal], step, 0))
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = (step > begin) & (group > 0)
+    return out
+
+
+def joined_runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that touch, of each document, as one; they come by document and place."""
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1] + 1)][: len(doc)]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:] - 1, len(doc) - 1][: len(first)]
+    return doc[first], lo[first], hi[last]
+
+
 def find_anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Anchors with their contexts, and runs (lo is not null, pos is the last start) of windows that a smaller place of the same chunk repeats.
+
+    So copies that a task reads together leave one anchor each, and their runs a row or two for a document.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, data, starts in _chunks(b):
                 place, anchor, context = anchors_of(data, starts, length, gram)
                 doc = np.searchsorted(starts, place, side="right") - 1
-                for k in range(0, max(1, len(place)), 200_000):
+                ids, pos = np.asarray(ids).astype(np.int64), place - starts[doc]
+                known = told_apart(ids, doc, pos, anchor, context)
+                run_doc, lo, hi = joined_runs(doc[known], np.maximum(0, pos[known] - (length - gram)), pos[known])
+                dealt = _mix(ids[run_doc].view(np.uint64) * BASE + hi.astype(np.uint64)) & ~np.uint64(1)  # anchors are odd
+                left = ~known
+                out = [np.r_[anchor[left], dealt].view(np.int64), np.r_[context[left], _mix(dealt + lo.astype(np.uint64))].view(np.int64), ids[np.r_[doc[left], run_doc]], np.r_[pos[left], hi].astype(np.int32)]
+                begin = pa.array(np.r_[np.zeros(int(left.sum()), dtype=np.int32), lo].astype(np.int32), mask=np.arange(len(out[0])) < left.sum())
+                for k in range(0, max(1, len(out[0])), 200_000):
                     part = slice(k, k + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[part].view(np.int64)), pa.array(context[part].view(np.int64)), pa.array(np.asarray(ids)[doc[part]].astype(np.int64)), pa.array((place - starts[doc])[part].astype(np.int32))], names=["anchor", "context", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in out), begin.slice(k, 200_000)], names=["anchor", "context", "doc_id", "pos", "lo"])
 
     return docs.mapInArrow(run, ANCHORS)
 
@@ -219,9 +255,9 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     marked = marked.withColumn("same", F.lag("context").over(own) == F.col("context")).withColumn("back", F.lag(place).over(own))
     marked = marked.withColumn("several", F.min("context").over(by_anchor) != F.max("context").over(by_anchor))
     marked = marked.filter(~F.coalesce(F.col("same") & (F.col("back") == place), F.lit(False)))  # a repeated row's anchors count once
-    marked = marked.withColumn("same", F.coalesce("same", F.lit(False))).filter("same OR several").select("anchor", "doc_id", "pos", "same")
+    marked = marked.withColumn("same", F.coalesce("same", F.lit(False)) | F.col("lo").isNotNull()).filter("same OR several").select("anchor", "doc_id", "pos", "same", "lo")
     marked = common.saved(marked, "marked")
-    whole = marked.filter("same").select("doc_id", F.greatest(F.lit(0), F.col("pos") - (width - 1)).alias("lo"), F.col("pos").alias("hi"))
+    whole = marked.filter("same").select("doc_id", F.coalesce("lo", F.greatest(F.lit(0), F.col("pos") - (width - 1))).alias("lo"), F.col("pos").alias("hi"))
     wanted = marked.filter("NOT same").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
